@@ -3,45 +3,37 @@
 from __future__ import annotations
 
 import html
-import json
-from collections.abc import Callable
-from html.entities import html5
+import re
+import sys
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Whitespace as Unicode sees it; a plain \s covers ASCII only.
-WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+# Sent to tasks by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Markup that holds no text of the page: contents are dropped with the tags.
-_DROPPED = ["script", "style", "template", "rt", "rp"]
-HIDDEN = "(?is)<(?:" + "|".join(
-    [rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in _DROPPED] + [r"!--.*?(?:-->|\z)", r"![^>]*>", r"\?[^>]*>"]) + ")"
-BREAK = r"(?i)<br\s*/?>"
-TAG = r"""</?[a-zA-Z][^'">]*(?:"[^"]*"[^'">]*|'[^']*'[^'">]*)*>|</?[a-zA-Z][^>]*>"""
-GAPS = rf"\n{WS}*\n"
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
-# Character references: the HTML name table, what the low code points stand for, and how a reference looks.
-_NAMES = json.dumps(html5)
-_OLD_LENGTH = max(len(n) for n in html5 if not n.endswith(";"))
-_LOW = json.dumps({str(n): html.unescape(f"&#{n};") for n in range(160)})
-REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Markup whose content is no text of the page goes with its tags; any other tag ends a line.
+_DROPPED = ["script", "style", "template", "rt", "rp"]
+HIDDEN = re.compile("<(?:" + "|".join(
+    [rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\Z)" for t in _DROPPED] + [r"!--.*?(?:-->|\Z)", r"![^>]*>", r"\?[^>]*>"]) + ")",
+    re.IGNORECASE | re.DOTALL)
+BREAK = re.compile(r"<br\s*/?>", re.IGNORECASE)
+TAG = re.compile(r"""</?[a-zA-Z](?:[^'">]|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*>""")
+GAPS = re.compile(r"\n\s*\n+")
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def strip(c) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.btrim(_col(c), F.lit(WS_CHARS))
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def normal_name(c) -> Column:
@@ -75,57 +67,27 @@ def iso_text(c, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
-def _numeric(ref: Column) -> Column:
-    """Character for a numeric reference without its ``&``."""
-    digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*);?$", 1)
-    number = F.when(F.length(digits) > 8, F.lit(-1)) \
-        .when(ref.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("bigint")) \
-        .otherwise(F.concat(F.lit("0"), digits).cast("bigint"))
-    low = F.element_at(F.from_json(F.lit(_LOW), "map<string,string>"), number.cast("string"))
-    plane_end = number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE
-    return F.when(number.between(0, 159), low) \
-        .when(~number.between(0, 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd")) \
-        .when(number.between(0xFDD0, 0xFDEF) | plane_end, F.lit("")) \
-        .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-
-
-def _named(ref: Column) -> Column:
-    """Characters for a named reference: the whole name, else the longest old name it starts with."""
-    table = F.from_json(F.lit(_NAMES), "map<string,string>")
-    tries = [F.try_element_at(table, ref)]
-    for n in range(_OLD_LENGTH, 1, -1):
-        start = F.when(F.length(ref) > n, F.try_element_at(table, F.left(ref, F.lit(n))))
-        tries.append(F.concat(start, F.substring(ref, F.lit(n + 1), F.length(ref))))
-    return F.coalesce(*tries, F.concat(F.lit("&"), ref))
-
-
-def _resolve(c: Column) -> Column:
-    """Resolve every reference: the text is cut at each ``&`` and each piece looked up on its own."""
-    cut = F.split(c, "&")
-    found = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda p: F.struct(
-        p.alias("piece"), F.regexp_extract(p, REFERENCE, 0).alias("ref")))
-    pieces = F.transform(found, lambda s: F.concat(
-        F.when(s["ref"] == "", F.lit("&")).when(s["ref"].startswith("#"), _numeric(s["ref"])).otherwise(_named(s["ref"])),
-        F.substring(s["piece"], F.length(s["ref"]) + 1, F.length(s["piece"]))))
-    return F.concat(cut[0], F.array_join(pieces, ""))
-
-
-def unescape(c) -> Column:
-    """Resolve HTML character references; texts that hold none are left alone."""
-    c = _col(c)
-    return F.when(c.rlike("&[#a-zA-Z]"), _resolve(c)).otherwise(c)
-
-
-def clean_html(c) -> Column:
+def clean_text(text: str) -> str:
     """Text of a cell without markup, one text run per line.
 
     References are resolved before tags are removed, so escaped markup goes too, and once more
     after, as an HTML parser does with the text it finds.
     """
-    text = F.regexp_replace(unescape(c), BREAK, "\n")
-    text = F.regexp_replace(text, HIDDEN, "\n")
-    text = bind(F.regexp_replace(text, TAG, "\n"), unescape)
-    return strip(F.regexp_replace(text, rf"{GAPS}+", "\n"))
+    text = BREAK.sub("\n", html.unescape(text))
+    text = TAG.sub("\n", HIDDEN.sub("\n", text))
+    return GAPS.sub("\n", html.unescape(text)).strip()
+
+
+@F.pandas_udf(T.StringType())
+def _clean(cells: pd.Series) -> pd.Series:
+    return cells.map(clean_text, na_action="ignore")
+
+
+def clean_html(c) -> Column:
+    """:func:`clean_text` of a column; only cells that hold markup, references or line ends travel to Python."""
+    c = _col(c)
+    marked = c.rlike("[&<\n]")
+    return F.when(marked, _clean(F.when(marked, c))).otherwise(strip(c))
 
 
 def clean_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -70,6 +70,12 @@ def link_tables(primary: TableSpec, others: list[TableSpec], ids: DataFrame | in
         wanted = ids.where(F.col("id").isNotNull()).select(F.col("id").alias(primary.id_column))
         primary = TableSpec(primary.name, primary.df.join(wanted, primary.id_column, "left_semi"),
                             primary.chosen(), primary.id_column)
+    # Cells are cleaned before the join multiplies them, unless conditions or sorting need them as stored.
+    early = clean and not where and not order_by
+    if early:
+        primary, *others = [TableSpec(t.name, clean_strings(t.df.select(*dict.fromkeys([t.id_column, *t.chosen()]))),
+                                      t.chosen(), t.id_column) for t in (primary, *others)]
+    clean = clean and not early
     df, columns = _star(primary, others, JOINS[how.upper()])
     df = df.where(F.col("_id") == ids) if isinstance(ids, int) else df.where(F.col("_id").isNotNull())
     for condition in where or []:

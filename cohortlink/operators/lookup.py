@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,11 +71,16 @@ def lookup_by_id(patients: DataFrame, requests: DataFrame, diagnoses: DataFrame
                  clean: bool = True) -> DataFrame:
     """One row per request and person found (and diagnosis); a repeated id gives its rows again."""
     people = patient_columns(patients)
-    people = clean_strings(people) if clean else people
+    if clean:
+        people, diagnoses = clean_strings(people), _cleaned(diagnoses)
     hits = requests.where(F.col("id").isNotNull()).select("row_number", F.col("id").alias(ID))
     return with_diagnoses(hits.join(people, ID), diagnoses).select("row_number", *PATIENT_COLS, *_child(diagnoses))
 
 
+def _cleaned(diagnoses: DataFrame | None) -> DataFrame | None:
+    return None if diagnoses is None else clean_strings(diagnoses.select(ID, "ICD10", "Bezeichnung"))
+
+
 def _child(diagnoses: DataFrame | None) -> list[str]:
     return [] if diagnoses is None else ["ICD10", "DiagnoseBezeichnung"]
 
@@ -115,7 +121,9 @@ def lookup_by_demographics(patients: DataFrame, requests: DataFrame, diagnoses:
     valid = check_demographics(requests).where(F.col("reason").isNull())
     hits = valid.join(_people_by_demographics(patient_columns(patients)), _KEYS)
     found = hits.select("row_number", "raw", *PATIENT_COLS)
-    found = clean_strings(found, [c for c in PATIENT_COLS if dict(found.dtypes)[c] == "string"]) if clean else found
+    if clean:
+        found = clean_strings(found, [c for c, kind in found.dtypes if kind == "string"])
+        diagnoses = _cleaned(diagnoses)
     return with_diagnoses(found, diagnoses).select("row_number", "raw", *PATIENT_COLS, *_child(diagnoses))
 
 
@@ -140,8 +148,29 @@ def demographic_summary(outcomes: DataFrame) -> DataFrame:
                         F.count_if(F.col("reason").isNotNull()).alias("failed"))
 
 
+_PLACEHOLDER = re.compile(r"""'(?:[^']|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/|(\?)""", re.DOTALL)
+
+
 def run_template(spark: SparkSession, text: str, args: list | None = None, **views: DataFrame) -> DataFrame:
-    """Run a SELECT with ``?`` placeholders; values travel as arguments, tables as named views."""
+    """Run a SELECT with ``?`` placeholders; values travel as arguments, tables as named views.
+
+    Placeholders become named parameters in the order they stand in the text; those inside quotes
+    and comments are text.
+    """
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text.strip().rstrip(";"), args=args or [])
+    values = list(args or [])
+    named: dict[str, object] = {}
+
+    def name_it(found: re.Match) -> str:
+        if found.group(1) is None:
+            return found.group(0)
+        if len(named) == len(values):
+            raise ValueError("more placeholders than values")
+        name = f"value_{len(named)}"
+        named[name] = values[len(named)]
+        return f":{name}"
+    text = _PLACEHOLDER.sub(name_it, text.strip().rstrip(";"))
+    if len(named) < len(values):
+        raise ValueError("more values than placeholders")
+    return spark.sql(text, args=named)

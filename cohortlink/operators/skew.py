@@ -51,8 +51,7 @@ def run_numbers(df: DataFrame, keys: list[str], order: str, chunks: int | None =
     ``order`` must be distinct. Each stretch of the order is worked through on its own; only the first
     and last keys and the number of changes of each stretch are then brought in line.
     """
-    has_key = F.coalesce(*[F.col(k).isNotNull() if i == len(keys) - 1 else F.when(F.col(k).isNotNull(), True)
-                           for i, k in enumerate(keys)])
+    has_key = F.coalesce(*keys).isNotNull()
     df = chunked(df, order, chunks).withColumn("_key", F.when(has_key, F.struct(*keys)))
     within = Window.partitionBy("_chunk").orderBy(order)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
