@@ -52,7 +52,8 @@ def _star(primary: TableSpec, others: list[TableSpec], how: str) -> tuple[DataFr
             renamed.append(F.col(c).alias(out))
             names[out] = out
         side = table.df.select(F.col(table.id_column).alias(f"_id{k}"), *renamed)
-        df = df.join(side, F.col("_id") == F.col(f"_id{k}"), how).drop(f"_id{k}")
+        # All tables are shuffled once, by the same id; none is broadcast, as nothing bounds its size.
+        df = df.join(side.hint("merge"), F.col("_id") == F.col(f"_id{k}"), how).drop(f"_id{k}")
     return df, list(names)
 
 

@@ -27,11 +27,15 @@ def filtered(df: DataFrame, *conditions: Column) -> DataFrame:
 
 
 def with_diagnoses(patients: DataFrame, diagnoses: DataFrame | None, id_column: str = ID) -> DataFrame:
-    """People with their diagnoses; those without any are kept."""
+    """People with their diagnoses; those without any are kept.
+
+    Nothing bounds the size of a child table, so it is never broadcast: both sides are shuffled by
+    person, where the adaptive planner splits people with very many rows.
+    """
     if diagnoses is None:
         return patients
     child = diagnoses.select(F.col(id_column), "ICD10", F.col("Bezeichnung").alias("DiagnoseBezeichnung"))
-    return patients.join(child, id_column, "left")
+    return patients.join(child.hint("merge"), id_column, "left")
 
 
 def by_id(patients: DataFrame, patient_id: int, diagnoses: DataFrame | None = None) -> DataFrame:

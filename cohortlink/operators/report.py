@@ -49,10 +49,16 @@ def value_lines(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def _json_value(df: DataFrame, name: str) -> Column:
     kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(c.cast("string"), F.lit("null"))
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        c = iso_text(c, kind)
+        return F.coalesce(F.concat(F.lit('"'), iso_text(c, kind), F.lit('"')), F.lit("null"))
     text = F.to_json(F.array(c))
-    return F.substring(text, F.lit(2), F.length(text) - 2)
+    text = F.substring(text, F.lit(2), F.length(text) - 2)
+    if isinstance(kind, T.StringType):
+        # Most strings need no escaping.
+        text = F.when(c.rlike(r'["\\\x00-\x1f]'), text).otherwise(F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null")))
+    return text
 
 
 def json_object(df: DataFrame, names: list[str], keep_null: list[str]) -> Column:
@@ -64,14 +70,16 @@ def json_object(df: DataFrame, names: list[str], keep_null: list[str]) -> Column
     return F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.lit("}"))
 
 
-def _grouped(df: DataFrame, info: Column, record: Column, order: list[str], group: list[str], most: int) -> DataFrame:
-    """Rows ``(group…, part, info, records, n_records)``; info comes from the first record in order."""
-    slim = df.select(*group, F.struct(*order).alias("_order"), info.alias("_info"), record.alias("_record"))
-    split = split_large_groups(slim, group, most)
-    return split.groupBy(*group, "part").agg(
+def _grouped(df: DataFrame, record: Column, order: list[str], group: list[str], most: int) -> DataFrame:
+    """Rows ``(_group…, part, the person's fields, records, n_records)``; the fields are those of the first record in order."""
+    fields = person_fields(df)
+    slim = df.select(*[F.col(g).alias(f"_{g}") for g in group], F.struct(*order).alias("_order"),
+                     F.struct(*fields).alias("_info"), record.alias("_record"))
+    keys = [f"_{g}" for g in group]
+    return split_large_groups(slim, keys, most).groupBy(*keys, "part").agg(
         F.min_by("_info", "_order").alias("info"),
         F.transform(F.sort_array(F.collect_list(F.struct("_order", "_record"))), lambda r: r["_record"]).alias("records"),
-        F.count("*").alias("n_records"))
+        F.count("*").alias("n_records")).select(*keys, "part", "info.*", "records", "n_records")
 
 
 def _by(df: DataFrame, mode: str, order: list[str], group: str) -> tuple[DataFrame, list[str]]:
@@ -84,6 +92,10 @@ def _by(df: DataFrame, mode: str, order: list[str], group: str) -> tuple[DataFra
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def _keys(keys: list[str]) -> list[Column]:
+    return [F.col(f"_{k}").alias(k) for k in keys]
+
+
 def grouped_report(df: DataFrame, order: list[str], mode: str = "entity", group: str = ID,
                    leave: list[str] | None = None, most: int = MOST_RECORDS) -> DataFrame:
     """One row per person (or per run of rows about one person): fields of the person and an array of records.
@@ -92,8 +104,8 @@ def grouped_report(df: DataFrame, order: list[str], mode: str = "entity", group:
     """
     fields, varying = person_fields(df), record_fields(df, leave)
     df, keys = _by(df, mode, order, group)
-    out = _grouped(df, F.struct(*fields), F.struct(*varying), order, keys, most)
-    return out.withColumnsRenamed({"info": "patient_info"})
+    out = _grouped(df, F.struct(*varying), order, keys, most)
+    return out.select(*_keys(keys), "part", F.struct(*fields).alias("patient_info"), "records", "n_records")
 
 
 def json_documents(df: DataFrame, order: list[str], mode: str = "entity", group: str = ID, whole_rows: bool = False,
@@ -104,11 +116,11 @@ def json_documents(df: DataFrame, order: list[str], mode: str = "entity", group:
     names = [c for c in df.columns if c not in left_out] if whole_rows else record_fields(df, leave)
     df, keys = _by(df, mode, order, group)
     record = json_object(df, names, names if whole_rows else VARYING_FIELDS)
-    out = _grouped(df, json_object(df, fields, []), record, order, keys, most)
+    out = _grouped(df, record, order, keys, most)
     label = "records" if whole_rows else "diagnoses"
-    return out.select(*keys, "part", F.concat(
-        F.lit('{"patient_info":'), "info", F.lit(f',"{label}":['), F.array_join("records", ","), F.lit("]}")
-    ).alias("document"))
+    return out.select(*_keys(keys), "part", F.concat(
+        F.lit('{"patient_info":'), json_object(out, fields, []), F.lit(f',"{label}":['), F.array_join("records", ","),
+        F.lit("]}")).alias("document"))
 
 
 def text_report(df: DataFrame, order: list[str], mode: str = "entity", group: str = ID, dates: bool = False,
@@ -116,11 +128,11 @@ def text_report(df: DataFrame, order: list[str], mode: str = "entity", group: st
     """One text per person: lines of the person, a rule, then one line per value of each record."""
     fields, varying = person_fields(df), record_fields(df, leave)
     df, keys = _by(df, mode, order, group)
-    info = F.array_join(F.array(*[cell_text(df, c, dates) for c in fields]), "\n")
     record = F.array_join(F.array(*[cell_text(df, c) for c in varying]), "\n")
-    out = _grouped(df, info, record, order, keys, most)
-    lines = F.filter(F.concat(F.array(F.col("info"), F.lit("---")), F.col("records")), lambda x: x != "")
-    return out.select(*keys, "part", F.array_join(lines, "\n").alias("report"))
+    out = _grouped(df, record, order, keys, most)
+    info = F.array_join(F.array(*[cell_text(out, c, dates) for c in fields]), "\n")
+    lines = F.filter(F.concat(F.array(info, F.lit("---")), F.col("records")), lambda x: x != "")
+    return out.select(*_keys(keys), "part", F.array_join(lines, "\n").alias("report"))
 
 
 def section_rows(df: DataFrame, order: list[str], group: str = ID, leave: list[str] | None = None) -> DataFrame:

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def split_large_groups(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Add ``part``: 0 in groups of up to ``most`` rows, else numbers that share the rows out evenly.
 
-    One pass over the key columns finds the large groups. Their rows are told apart by content; of
-    equal rows one is kept with a count until they have been shared out, so copies split up too.
-    When no group is large, both joins fall away at run time.
+    A pass over the key columns looks for large groups first; mostly there are none and nothing more
+    happens. The rows of large groups are told apart by content; of equal rows one is kept with a
+    count until they have been shared out, so copies split up too.
     """
     large = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
+    if large.isEmpty():
+        return df.withColumn("part", F.lit(0))
+    large = cut_lineage(large)
     small = df.join(large, keys, "left_anti").withColumn("part", F.lit(0))
     columns = df.columns
     rows = df.join(large, keys).groupBy(*columns, "_rows").agg(F.count("*").alias("_copies"))

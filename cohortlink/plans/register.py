@@ -58,7 +58,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     """People and diagnoses joined, the input of the reports."""
     people = views.patients(spark, folder).select("PatientID", "Vorname", "Name", "Geburtsdatum", "Dauernotiz")
-    return people.join(views.diagnoses(spark, folder), "PatientID", "left")
+    return people.join(views.diagnoses(spark, folder).hint("merge"), "PatientID", "left")
 
 
 RECORD_ORDER = ["Date", "ICD10", "Bezeichnung"]
