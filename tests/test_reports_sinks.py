@@ -1,0 +1,182 @@
+import json
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlink import (audit_log, catalog_of, discover_key_tables, distinct_people, grouped_report, json_documents, list_tables,
+                        login_line, redundant, run_status, run_summary, search_line, section_rows, session_catalog, split_counts,
+                        table_columns, table_summary, text_report, value_lines, write_reports, write_results)
+from cohortlink.operators.skew import chunked, run_numbers, split_large_groups
+from cohortlink.sinks.writers import output_format
+
+
+@pytest.fixture
+def records(spark):
+    rows = [(1, 1001, "Müller", "Hans", datetime(1980, 5, 15), "E11.9", 'Diabetes "2"', date(2023, 1, 15)),
+            (2, 1001, "Müller", "Hans", datetime(1980, 5, 15), "I10", None, date(2023, 2, 20)),
+            (3, 1002, "Schmidt", "Anna", datetime(1975, 12, 3, 4, 5, 6), "M79.1", "Myalgia", None),
+            (4, 1001, "Müller", "Hans", datetime(1980, 5, 15), "J00", " ", None)]
+    return spark.createDataFrame(rows, "n bigint, PatientID bigint, Name string, Vorname string, Geburtsdatum timestamp, "
+                                       "ICD10 string, Bezeichnung string, DiagnosisDate date")
+
+
+def test_grouped_by_person_and_by_run(records):
+    rows = {r.PatientID: r for r in grouped_report(records, ["n"]).collect()}
+    assert rows[1001].n_records == 3 and rows[1001].patient_info.Name == "Müller"
+    assert [r.ICD10 for r in rows[1001].records] == ["E11.9", "I10", "J00"]
+    runs = sorted((r.run, r.patient_info.Name, r.n_records) for r in grouped_report(records, ["n"], mode="runs").collect())
+    assert runs == [(1, "Müller", 2), (2, "Schmidt", 1), (3, "Müller", 1)]
+    with pytest.raises(ValueError):
+        grouped_report(records, ["n"], mode="odd")
+
+
+def test_json_documents(records):
+    docs = {r.PatientID: json.loads(r.document) for r in json_documents(records, ["n"], leave=["n"]).collect()}
+    assert docs[1001]["patient_info"] == {"Name": "Müller", "Vorname": "Hans", "PatientID": 1001, "Geburtsdatum": "1980-05-15T00:00:00"}
+    assert docs[1001]["diagnoses"][0] == {"ICD10": "E11.9", "Bezeichnung": 'Diabetes "2"', "DiagnosisDate": "2023-01-15"}
+    assert docs[1001]["diagnoses"][1] == {"ICD10": "I10", "Bezeichnung": None, "DiagnosisDate": "2023-02-20"}
+    assert docs[1002]["patient_info"]["Geburtsdatum"] == "1975-12-03T04:05:06"
+    assert docs[1002]["diagnoses"] == [{"ICD10": "M79.1", "Bezeichnung": "Myalgia"}]
+    whole = {r.PatientID: json.loads(r.document) for r in json_documents(records, ["n"], whole_rows=True).collect()}
+    assert whole[1002]["records"][0]["DiagnosisDate"] is None and whole[1002]["records"][0]["Name"] == "Schmidt"
+
+
+def test_text_lines_and_reports(spark, records):
+    lines = [(r.n, r.line) for r in value_lines(records, ["n"]).orderBy("n", "pos").collect()]
+    assert lines[:5] == [(1, "1001"), (1, "Müller"), (1, "Hans"), (1, "E11.9"), (1, 'Diabetes "2"')]
+    assert not [x for x in lines if "2023" in x[1]]
+    reports = {r.PatientID: r.report for r in text_report(records, ["n"], leave=["n"]).collect()}
+    assert reports[1002] == "Schmidt\nAnna\n1002\n---\nM79.1\nMyalgia"
+    assert reports[1001].split("---\n")[1] == 'E11.9\nDiabetes "2"\nI10\nJ00'
+    df = spark.createDataFrame([(1, 12345678.5, 23.0, True, " x ", 0.00025)], "n int, a double, b double, c boolean, d string, e double")
+    assert [r.line for r in value_lines(df, ["n"]).orderBy("pos").collect()] == ["12345678.5", "23.0", "True", "x", "0.00025"]
+
+
+def test_section_rows(records):
+    rows = section_rows(records, ["n"], leave=["n"]).collect()
+    person = sorted((r.seq, r.field, r.value) for r in rows if r.section == "Patient" and r.PatientID == 1002)
+    assert person == [(0, "Name", "Schmidt"), (1, "Vorname", "Anna"), (2, "PatientID", "1002"), (3, "Geburtsdatum", "1975-12-03T04:05:06")]
+    second = sorted((r.seq, r.field, r.value) for r in rows if r.section == "Diagnoses" and r.order_n == 2)
+    assert second == [(0, "Bezeichnung", ""), (1, "DiagnosisDate", "2023-02-20"), (2, "ICD10", "I10")]
+
+
+def test_people_and_redundancy(spark, records):
+    assert distinct_people(records).first().people == 2
+    assert redundant(records, ["n"]).first().redundant is True
+    assert redundant(records, [F.desc("n")]).first().redundant is False
+    assert redundant(records.limit(1), ["n"]).first().redundant is False
+    assert redundant(records.drop("ICD10", "Bezeichnung"), ["n"]).first().redundant is False
+
+
+def test_large_groups_are_split_whole(spark):
+    hot = spark.range(900).select(F.lit(1).alias("k"), (F.col("id") % 7).alias("v"))
+    copies = spark.range(500).select(F.lit(2).alias("k"), F.lit(5).cast("bigint").alias("v"))
+    few = spark.range(40).select((F.col("id") + 10).cast("int").alias("k"), F.col("id").alias("v"))
+    df = hot.union(copies).union(few)
+    out = split_large_groups(df, ["k"], 50)
+    assert out.groupBy("k", "v").count().exceptAll(df.groupBy("k", "v").count()).count() == 0
+    assert out.count() == df.count()
+    sizes = out.groupBy("k", "part").count().collect()
+    assert len([s for s in sizes if s.k == 1]) > 5 and len([s for s in sizes if s.k == 2]) > 3
+    assert all(s.part == 0 for s in sizes if s.k >= 10)
+    report = grouped_report(df.withColumnsRenamed({"k": "PatientID", "v": "ICD10"}), ["ICD10"], most=50)
+    assert report.agg(F.sum("n_records")).first()[0] == df.count()
+
+
+@pytest.mark.parametrize("chunks", [2, 5, 40])
+def test_runs_along_an_order(spark, chunks):
+    import random
+    rng = random.Random(chunks)
+    rows = [(i * 3, rng.choice(["a", "a", "b", None]), rng.choice(["x", None])) for i in range(300)]
+    want, run, last = {}, 0, None
+    for n, name, first in rows:
+        key = (name, first)
+        if any(key) and key != last:
+            run, last = run + 1, key
+        want[n] = run
+    df = spark.createDataFrame(rows, "n bigint, Name string, Vorname string").repartition(7)
+    got = {r.n: r.run for r in run_numbers(df, ["Name", "Vorname"], "n", chunks).collect()}
+    assert got == want
+    sizes = [r["count"] for r in chunked(df, "n", chunks).groupBy("_chunk").count().collect()]
+    assert len(sizes) == chunks and max(sizes) <= 2 * 300 / chunks + 2
+
+
+def test_catalog(spark, records):
+    catalog = catalog_of({"Diagnose": records.select("PatientID", "ICD10"), "Other": records.select("Name")}, "dbo")
+    rows = list_tables(catalog).collect()
+    assert [(r["Table Name"], r["Column Count"], r["Columns"]) for r in rows] == [
+        ("Diagnose", 2, "PatientID (bigint)\r\nICD10 (string)"), ("Other", 1, "Name (string)")]
+    assert [r.COLUMN_NAME for r in table_columns(catalog, "Diagnose", "dbo").collect()] == ["PatientID", "ICD10"]
+    assert table_summary(catalog, "Diagnose", "dbo").first()["Columns"] == "PatientID (bigint)\nICD10 (string)"
+    gone = table_summary(catalog, "Nope", "dbo").first()
+    assert gone["Column Count"] == 0 and gone["Columns"].startswith("No columns") and gone["Status"]
+    assert [tuple(r) for r in discover_key_tables(catalog, "dbo").collect()] == [("Diagnose", "dbo", "PatientID", 2)]
+    records.createOrReplaceTempView("shown")
+    views = session_catalog(spark, "default")
+    assert list_tables(views).count() == 0 and views.where("table_name = 'shown'").count() == len(records.columns)
+
+
+def test_formats(recwarn):
+    assert [output_format(None, p) for p in ("a.json", "a.CSV", "a.tsv", "a.txt")] == ["json", "csv", "tsv", "txt"]
+    assert output_format("csv", "a.json") == "csv"
+    assert output_format(None, "a.xyz") == "json" and len(recwarn) == 1
+    with pytest.raises(ValueError):
+        output_format("pdf", "x")
+
+
+def test_writers(spark, tmp_path, records):
+    summary = run_summary(records, "demo", parameters={"patient_id": 5})
+    for fmt in ("json", "csv", "tsv", "txt"):
+        write_results(records.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), str(tmp_path / f"out.{fmt}"), metadata=summary)
+    rows = spark.read.json(str(tmp_path / "out.json"))
+    assert rows.count() == 4 and set(records.columns) <= set(rows.columns)
+    back = spark.read.csv(str(tmp_path / "out.csv"), header=True, escape='"')
+    assert {r.Bezeichnung for r in back.collect()} >= {'Diabetes "2"', "Myalgia"} and back.first().m == '{"a":1}'
+    assert spark.read.csv(str(tmp_path / "out.tsv"), header=True, sep="\t").columns == back.columns
+    assert "Müller" in {r.value for r in spark.read.text(str(tmp_path / "out.txt")).collect()}
+    assert spark.read.json(str(tmp_path / "out.csv.metadata")).first().row_count_fetched == 4
+    write_reports(text_report(records, ["n"], leave=["n"]).coalesce(1), str(tmp_path / "r"))
+    text = "".join(f.read_text() for f in (tmp_path / "r").glob("part-*"))
+    assert text.count("\n===\n") == 2
+
+
+def test_split_output(spark, tmp_path, records):
+    counts = {r.split_key: (r.row_count, r.people) for r in split_counts(records, "{Vorname}_{Name}").collect()}
+    assert counts == {"Hans_Mller": (3, 1), "Anna_Schmidt": (1, 1)}
+    write_results(records, str(tmp_path / "s.csv"), split_by="{PatientID}")
+    assert sorted(p.name for p in (tmp_path / "s.csv").glob("split_key=*")) == ["split_key=1001", "split_key=1002"]
+    assert spark.read.csv(str(tmp_path / "s.csv" / "split_key=1001"), header=True).count() == 3
+    empty = records.withColumn("Name", F.lit("ü"))
+    assert {r.split_key for r in split_counts(empty, "{Name}", "n").collect()} == {f"output_{i}" for i in range(1, 5)}
+    with pytest.raises(ValueError):
+        split_counts(records, "{Nope}")
+
+
+@pytest.mark.parametrize("rows,total,done,status", [
+    (5, 3, 3, "batch_success_all_processed"), (5, 3, 2, "batch_partial_success"), (5, 3, 0, "batch_processed_no_data_or_all_failed"),
+    (0, 3, 3, "batch_processed_no_data_or_all_failed"), (0, 0, 0, "batch_input_error_or_empty"), (5, None, None, "success"),
+    (0, None, None, "success_no_data")])
+def test_status(spark, rows, total, done, status):
+    counters = () if total is None else (F.lit(total), F.lit(done))
+    assert spark.range(1).select(run_status(F.lit(rows), *counters)).first()[0] == status
+
+
+def test_summary_hides_parameters(spark, records):
+    given = {"dob": "1980-05-15", "patient_id": 12, "last_name": "Schmidt-Rottluff", "secret": "x", "first_name": None}
+    counters = spark.createDataFrame([(4, 3, 1)], "total bigint, processed bigint, failed bigint")
+    row = run_summary(records, "q", counters, given).first()
+    assert row.parameters == {"dob": "***DATE***", "patient_id": "12", "last_name": "Sch...uff"}
+    assert row.status == "batch_partial_success" and row.row_count_fetched == 4 and row.total == 4
+    assert run_summary(records, "q", parameters=given, in_clear=True).first().parameters["dob"] == "1980-05-15"
+
+
+def test_audit_lines(spark):
+    events = spark.createDataFrame([("SELECT", True, 12.345, 7), ("FETCH", False, None, None)],
+                                   "operation string, success boolean, duration_ms double, row_count int")
+    assert [r.line for r in audit_log(events).collect()] == ["DB_AUDIT: SELECT SUCCESS, 12.35ms, 7 rows", "DB_AUDIT: FETCH FAILED"]
+    df = spark.range(1).select(
+        search_line(F.lit("fuzzy"), F.lit(2), F.lit(3), F.lit(1.5)).alias("s"),
+        login_line(F.lit("login"), F.lit("doctor"), F.lit(True), F.lit("token=abc")).alias("l"))
+    assert tuple(df.first()) == ("PATIENT_SEARCH: fuzzy search with 2 criteria returned 3 results (1.50ms)",
+                                 "AUTH: login SUCCESS user=do***r | token=***REDACTED***")
