@@ -104,10 +104,13 @@ def weighted_ratio(a: str, b: str) -> float:
 @F.pandas_udf(T.DoubleType())
 def _weighted_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        pairs = pd.DataFrame({"a": a, "b": b})
-        distinct = pairs.dropna().drop_duplicates()
-        distinct = distinct.assign(s=[weighted_ratio(x, y) for x, y in zip(distinct.a, distinct.b)])
-        yield pairs.merge(distinct, on=["a", "b"], how="left").s.astype("float64")
+        known: dict[tuple, float | None] = {}
+        scores = []
+        for pair in zip(a, b):
+            if pair not in known:
+                known[pair] = None if pair[0] is None or pair[1] is None else weighted_ratio(*pair)
+            scores.append(known[pair])
+        yield pd.Series(scores, dtype="float64")
 
 
 def _bit(i: Column) -> Column:
@@ -143,6 +146,15 @@ def _plain(a: Column, b: Column) -> Column:
     return (longer < shorter * WINDOW_FROM) & (longer <= _NATIVE_LIMIT) & ~a.rlike(r"\s") & ~b.rlike(r"\s")
 
 
+def similarity_of_many(a: Column, b: Column) -> Column:
+    """Weighted similarity where the same few pairs come again and again: each is compared once per batch of rows.
+
+    Null where either side is; equal names do not travel to Python.
+    """
+    return F.when(a == b, F.when(a == "", F.lit(0.0)).otherwise(F.lit(1.0))) \
+        .otherwise(_weighted_ratio(F.when(a != b, a), F.when(a != b, b)))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Weighted similarity of two columns.
 
