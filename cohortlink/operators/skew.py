@@ -43,20 +43,22 @@ ROWS_PER_CHUNK = 5_000_000
 MOST_CHUNKS = 4096
 
 
+def _bounds(df: DataFrame, order: str, chunks: int) -> tuple[int, list]:
+    shares = F.expr(f"array({', '.join(f'{i / chunks!r}D' for i in range(1, chunks))})")
+    found = df.select(F.count("*").alias("n"), F.percentile_approx(order, shares, 10 * chunks).alias("bounds")).first()
+    return found["n"], found["bounds"] or []
+
+
 def chunked(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
     """Add ``_chunk``: stretches of near-equal size along a number or date column.
 
     There are as many as there are shuffle partitions, more where the table is large. The bounds are
     quantiles worked out beforehand and fixed in the plan, so every pass sees the same stretches.
     """
-    pieces = chunks or MOST_CHUNKS
-    shares = F.expr(f"array({', '.join(f'{i / pieces!r}D' for i in range(1, pieces))})")
-    found = df.select(F.count("*").alias("n"), F.percentile_approx(order, shares, 10 * MOST_CHUNKS).alias("bounds")).first()
-    bounds = found["bounds"] or []
-    if chunks is None:
-        wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2, -(-found["n"] // ROWS_PER_CHUNK))
-        step = max(MOST_CHUNKS // wanted, 1)
-        bounds = bounds[step - 1::step]
+    first = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    n, bounds = _bounds(df, order, first)
+    if chunks is None and n > first * ROWS_PER_CHUNK:
+        n, bounds = _bounds(df, order, min(-(-n // ROWS_PER_CHUNK), MOST_CHUNKS))
     return df.withColumn("_chunk", _branch(F.col(order), sorted(set(bounds)), 0))
 
 
