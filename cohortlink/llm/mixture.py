@@ -47,11 +47,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
            .withColumn("full_at", F.col("most") / F.col("weight"))
            .withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
                        / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-           .withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
+           .withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "place", "level")))
+                       .over(everything)["level"])
            .withColumn("target", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))))
            .withColumn("high", F.sum("target").over(by_name.rowsBetween(W.unboundedPreceding, 0)))
            .withColumn("low", F.coalesce(F.lag("high").over(by_name), F.lit(0.0))))
-    total = F.max("high").over(everything)
+    total = F.nullif(F.max("high").over(everything), F.lit(0.0))
     return per.select(
         "source", "source_size", "target", total.alias("total"),
         *[F.coalesce(F.floor(F.col(c) / total * GRID), F.lit(0)).cast("long").alias(c) for c in ("low", "high")])

@@ -19,7 +19,7 @@ weighed AS (SELECT *, CAST(place % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER w, 0.0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0)) AS level FROM weighed
     WINDOW w AS (ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-leveled AS (SELECT * REPLACE (min(CASE WHEN level <= full_at THEN level END) OVER () AS level) FROM levels),
+leveled AS (SELECT * REPLACE ((SELECT level FROM levels WHERE level <= full_at ORDER BY full_at, place LIMIT 1) AS level) FROM levels),
 targeted AS (SELECT *, least(most, coalesce(level * weight, most)) AS target FROM leveled),
 summed AS (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high
     FROM targeted),

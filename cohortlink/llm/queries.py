@@ -4,12 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode, n_tokens
 from .common import table
 from .exact import mark_copies, text_sha256
 from .mixture import mix
+from .simhash import hexadecimal, mark_near_copies
+
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = docs.select("doc_id", encode(spark, VOCABULARY)(F.col("text")).alias("ids"))
+    both = ids.withColumn("decoded", decode(spark, VOCABULARY)(F.col("ids")))
+    return both.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def simhash_near(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return mark_near_copies(docs).select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +42,8 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": bpe_round_trip,
+    "op2_simhash_near": simhash_near,
     "op8_exact_dedup": exact_dedup,
     "op10_source_mix": source_mix,
 }
