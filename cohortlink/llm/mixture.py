@@ -97,7 +97,7 @@ def taken_words(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
     """Words taken of each ``doc_id``, ``source`` and ``size``; documents of no words are left out."""
     total = targets.agg(F.max("total")).first()[0] or 0.0
     slots = schedule(targets, total, block)
-    visits = (slots.withColumn("block", F.expr(f"before % (-((-source_size) div {block}))"))
+    visits = (slots.withColumn("block", F.expr(f"before % ((source_size + {block - 1}) div {block})"))
               .groupBy(F.col("source").alias("_source"), F.col("block").alias("_block"))
               .agg(F.count(F.lit(1)).alias("visits")))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
