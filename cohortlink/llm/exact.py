@@ -33,9 +33,9 @@ def _decided(docs: DataFrame, prefix: int) -> DataFrame:
     length, start = F.length(norm), F.xxhash64(F.substring(norm, 1, prefix))
     keyed = docs.drop(*RESULTS).withColumns({"_exact_length": length, "_exact_start": start})
 
-    lengths = keyed.groupBy("_exact_length").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    starts = (keyed.select("_exact_length", "_exact_start").join(lengths, "_exact_length", "left_semi")
-              .groupBy("_exact_length", "_exact_start").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counted = stored(keyed.groupBy("_exact_length", "_exact_start").agg(F.count(F.lit(1)).alias("n")))
+    lengths = counted.groupBy("_exact_length").agg(F.sum("n").alias("rows")).where("rows > 1")
+    starts = counted.join(lengths, "_exact_length", "left_semi").where("n > 1")
     # The only step that hashes whole texts: of documents whose length and beginning occur again.
     hashed = stored(keyed.select("doc_id", "text", "_exact_length", "_exact_start")
                     .join(starts, ["_exact_length", "_exact_start"], "left_semi")
