@@ -36,5 +36,15 @@ def word_count(text: Column) -> Column:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` read back from a checkpoint in the shared folder of the session."""
-    return cut_lineage(df)
+    """``df`` read back from a checkpoint in the shared folder of the session.
+
+    What its shuffles left on the executors' disks goes when it is written.
+    """
+    conf = df.sparkSession.conf
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting)
+    conf.set(setting, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(setting, before)

@@ -205,10 +205,13 @@ def near_links(prints: DataFrame, radius: int = 4, passes: int = 4) -> DataFrame
     # At most some millions of points in a bucket, and no fewer bits than the number of flipped bits takes.
     bucket_bits = max(12, (n * balls >> 21).bit_length())
     ranges = max(64, n >> 16)
+    # Blocks of fingerprints for all cores, however little room they take.
+    blocks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n >> 14)
+    dealt = prints.select("print").repartition(blocks)
     found = None
     for k in range(passes):
         first, last = ((1 << bucket_bits) * x // passes for x in (k, k + 1))
-        points = prints.select("print").mapInArrow(_points(half, bucket_bits, first, last), "bucket int, points binary")
+        points = dealt.mapInArrow(_points(half, bucket_bits, first, last), "bucket int, points binary")
         links = (points.repartition("bucket").sortWithinPartitions("bucket")
                  .mapInArrow(_links(half, radius, bucket_bits, ranges), "range int, links binary"))
         links = stored(links)
