@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .bpe import decode, encode, n_tokens
-from .common import table
+from .common import remainder, table
 from .exact import mark_copies, text_sha256
 from .mixture import mix
 from .simhash import hexadecimal, mark_near_copies
@@ -31,6 +32,22 @@ def simhash_near(spark: SparkSession, folder: str) -> DataFrame:
     return mark_near_copies(docs).select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, folder, "labels").where(~held_out)
+    scored = toxicity.predict(docs, toxicity.learn(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = langid.learn(docs.where(~held_out))
+    scored = langid.predict(docs.drop("lang"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", text_sha256(F.col("text")).alias("text_sha256"))
     return mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -44,6 +61,8 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe_round_trip,
     "op2_simhash_near": simhash_near,
+    "op3_toxicity": toxic_documents,
     "op8_exact_dedup": exact_dedup,
+    "op9_language": language,
     "op10_source_mix": source_mix,
 }
