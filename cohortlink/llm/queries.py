@@ -12,6 +12,7 @@ from . import langid, toxicity
 from .bpe import decode, encode, n_tokens
 from .common import remainder, table
 from .exact import mark_copies, text_sha256
+from .merkle import compare_with_next
 from .mixture import mix
 from .simhash import hexadecimal, mark_near_copies
 
@@ -48,6 +49,13 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return compare_with_next(docs).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next")
+
+
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", text_sha256(F.col("text")).alias("text_sha256"))
     return mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe_round_trip,
     "op2_simhash_near": simhash_near,
     "op3_toxicity": toxic_documents,
+    "op6_fingerprints": fingerprints,
     "op8_exact_dedup": exact_dedup,
     "op9_language": language,
     "op10_source_mix": source_mix,
