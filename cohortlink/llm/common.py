@@ -45,6 +45,6 @@ def stored(df: DataFrame) -> DataFrame:
     before = conf.get(setting)
     conf.set(setting, "true")
     try:
-        return cut_lineage(df)
+        return cut_lineage(df.select("*"))  # the setting holds for tables defined after it
     finally:
         conf.set(setting, before)
