@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import ctw, langid, toxicity
 from .bpe import decode, encode, n_tokens
 from .common import remainder, table
 from .exact import mark_copies, text_sha256
@@ -49,6 +49,15 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    model = ctw.learn(docs.where(~held_out).select("text"))
+    return ctw.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes",
+        ctw.bits_per_byte(F.col("score"), F.col("n_bytes")).alias("bits_per_byte"))
+
+
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return compare_with_next(docs).select(
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe_round_trip,
     "op2_simhash_near": simhash_near,
     "op3_toxicity": toxic_documents,
+    "op5_language_model": language_model,
     "op6_fingerprints": fingerprints,
     "op8_exact_dedup": exact_dedup,
     "op9_language": language,
