@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, langid, toxicity
+from . import ctw, langid, toxicity, wrappers
 from .bpe import decode, encode, n_tokens
-from .common import remainder, table
+from .common import remainder, stored, table
 from .exact import mark_copies, text_sha256
 from .merkle import compare_with_next
 from .mixture import mix
@@ -49,6 +49,12 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def page_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    texts = wrappers.extract(pages, stored(wrappers.infer(pages)))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), 10) == 0
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe_round_trip,
     "op2_simhash_near": simhash_near,
     "op3_toxicity": toxic_documents,
+    "op4_page_text": page_text,
     "op5_language_model": language_model,
     "op6_fingerprints": fingerprints,
     "op8_exact_dedup": exact_dedup,
