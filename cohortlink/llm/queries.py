@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, langid, toxicity, wrappers
+from . import ctw, langid, licenses, toxicity, wrappers
 from .bpe import decode, encode, n_tokens
 from .common import remainder, stored, table
 from .exact import mark_copies, text_sha256
@@ -71,6 +71,14 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "edited_fingerprint", "near_edited", "near_next")
 
 
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # The best match: of equal coverage, the longest, then the last by name.
+    best = F.expr("array_max(transform(matches, m -> struct(m.coverage, m.end - m.begin AS letters, m.license)))")
+    return licenses.find(docs).select("doc_id", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"),
+                                      best["coverage"].alias("coverage"), "matches")
+
+
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", text_sha256(F.col("text")).alias("text_sha256"))
     return mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_page_text": page_text,
     "op5_language_model": language_model,
     "op6_fingerprints": fingerprints,
+    "op7_license_scan": license_scan,
     "op8_exact_dedup": exact_dedup,
     "op9_language": language,
     "op10_source_mix": source_mix,
