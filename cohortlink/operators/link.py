@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_strings
 from ..model import ID
+from .skew import padded
 
-JOINS = {"LEFT": "left", "INNER": "inner", "RIGHT": "right", "FULL": "full"}
+# The id always filters the primary table, so what only other tables hold goes.
+JOINS = {"LEFT": "left", "INNER": "inner", "RIGHT": "inner", "FULL": "left"}
 
 
 @dataclass(frozen=True)
@@ -53,10 +55,18 @@ def _star(primary: TableSpec, others: list[TableSpec], how: str) -> tuple[DataFr
             names[out] = out
         side = table.df.select(F.col(table.id_column).alias(f"_id{k}"), *renamed)
         # All tables are shuffled once, by the same id; none is broadcast, as nothing bounds its size.
-        df = df.join(side.hint("merge"), F.col("_id") == F.col(f"_id{k}"), how).drop(f"_id{k}")
+        if how == "left":
+            side = padded(side, f"_id{k}", primary.df.select(F.col(primary.id_column).alias(f"_id{k}")))
+        df = df.join(side.hint("merge"), F.col("_id") == F.col(f"_id{k}")).drop(f"_id{k}")
     return df, list(names)
 
 
+def _reduced(table: TableSpec, wanted: DataFrame, column: str) -> TableSpec:
+    """The rows of the ids asked for, before anything is cleaned or joined."""
+    ids = wanted.withColumnRenamed(column, table.id_column)
+    return TableSpec(table.name, table.df.join(ids, table.id_column, "left_semi"), table.chosen(), table.id_column)
+
+
 def link_tables(primary: TableSpec, others: list[TableSpec], ids: DataFrame | int | None = None, how: str = "LEFT",
                 order_by: list[str] | None = None, limit: int | None = None, where: list[Column] | None = None,
                 clean: bool = True) -> DataFrame:
@@ -68,9 +78,11 @@ def link_tables(primary: TableSpec, others: list[TableSpec], ids: DataFrame | in
     if how.upper() not in JOINS:
         raise ValueError(f"unknown join type {how!r}; use one of {', '.join(JOINS)}")
     if isinstance(ids, DataFrame):
-        wanted = ids.where(F.col("id").isNotNull()).select(F.col("id").alias(primary.id_column))
-        primary = TableSpec(primary.name, primary.df.join(wanted, primary.id_column, "left_semi"),
-                            primary.chosen(), primary.id_column)
+        wanted = ids.where(F.col("id").isNotNull()).select(F.col("id").alias(primary.id_column)).distinct()
+        primary, *others = [_reduced(t, wanted, primary.id_column) for t in (primary, *others)]
+    elif isinstance(ids, int):
+        primary, *others = [TableSpec(t.name, t.df.where(F.col(t.id_column) == ids), t.chosen(), t.id_column)
+                            for t in (primary, *others)]
     # Cells are cleaned before the join multiplies them, unless conditions or sorting need them as stored.
     early = clean and not where and not order_by
     if early:
@@ -78,7 +90,7 @@ def link_tables(primary: TableSpec, others: list[TableSpec], ids: DataFrame | in
                                       t.chosen(), t.id_column) for t in (primary, *others)]
     clean = clean and not early
     df, columns = _star(primary, others, JOINS[how.upper()])
-    df = df.where(F.col("_id") == ids) if isinstance(ids, int) else df.where(F.col("_id").isNotNull())
+    df = df.where(F.col("_id").isNotNull())
     for condition in where or []:
         df = df.where(condition)
     keys = order_keys(order_by or [])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_strings
 from ..model import BAD_DOB, BAD_ID, ID, NO_DOB, NO_MATCH, NO_NAME, PATIENT_COLS
+from .skew import padded
 
 
 def patient_columns(patients: DataFrame) -> DataFrame:
@@ -26,16 +27,19 @@ def filtered(df: DataFrame, *conditions: Column) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
-def with_diagnoses(patients: DataFrame, diagnoses: DataFrame | None, id_column: str = ID) -> DataFrame:
+def with_diagnoses(patients: DataFrame, diagnoses: DataFrame | None, id_column: str = ID,
+                   ids: DataFrame | None = None) -> DataFrame:
     """People with their diagnoses; those without any are kept.
 
     Nothing bounds the size of a child table, so it is never broadcast: both sides are shuffled by
-    person, where the adaptive planner splits people with very many rows.
+    person, where the adaptive planner splits people with very many rows (see :func:`padded`). ``ids``
+    may name the people where that is cheaper than reading ``patients`` for them.
     """
     if diagnoses is None:
         return patients
     child = diagnoses.select(F.col(id_column), "ICD10", F.col("Bezeichnung").alias("DiagnoseBezeichnung"))
-    return patients.join(child.hint("merge"), id_column, "left")
+    child = padded(child, id_column, patients if ids is None else ids).withColumnRenamed(id_column, "_child")
+    return patients.join(child.hint("merge"), F.col(id_column).eqNullSafe(F.col("_child"))).drop("_child")
 
 
 def by_id(patients: DataFrame, patient_id: int, diagnoses: DataFrame | None = None) -> DataFrame:
@@ -74,15 +78,20 @@ def by_birth_years(patients: DataFrame, first: int, last: int, diagnoses: DataFr
 def lookup_by_id(patients: DataFrame, requests: DataFrame, diagnoses: DataFrame | None = None,
                  clean: bool = True) -> DataFrame:
     """One row per request and person found (and diagnosis); a repeated id gives its rows again."""
-    people = patient_columns(patients)
-    if clean:
-        people, diagnoses = clean_strings(people), _cleaned(diagnoses)
     hits = requests.where(F.col("id").isNotNull()).select("row_number", F.col("id").alias(ID))
-    return with_diagnoses(hits.join(people, ID), diagnoses).select("row_number", *PATIENT_COLS, *_child(diagnoses))
+    wanted = hits.select(ID).distinct()
+    people = patient_columns(patients).join(wanted, ID, "left_semi")
+    diagnoses = _wanted(diagnoses, wanted, clean)
+    people = clean_strings(people) if clean else people
+    return with_diagnoses(hits.join(people, ID), diagnoses, ids=wanted).select("row_number", *PATIENT_COLS, *_child(diagnoses))
 
 
-def _cleaned(diagnoses: DataFrame | None) -> DataFrame | None:
-    return None if diagnoses is None else clean_strings(diagnoses.select(ID, "ICD10", "Bezeichnung"))
+def _wanted(diagnoses: DataFrame | None, ids: DataFrame, clean: bool) -> DataFrame | None:
+    """The diagnoses of the people asked for; only their cells are cleaned."""
+    if diagnoses is None:
+        return None
+    some = diagnoses.select(ID, "ICD10", "Bezeichnung").join(ids, ID, "left_semi")
+    return clean_strings(some) if clean else some
 
 
 def _child(diagnoses: DataFrame | None) -> list[str]:
@@ -125,10 +134,11 @@ def lookup_by_demographics(patients: DataFrame, requests: DataFrame, diagnoses:
     valid = check_demographics(requests).where(F.col("reason").isNull())
     hits = valid.join(_people_by_demographics(patient_columns(patients)), _KEYS)
     found = hits.select("row_number", "raw", *PATIENT_COLS)
+    ids = found.select(ID).distinct()
     if clean:
         found = clean_strings(found, [c for c, kind in found.dtypes if kind == "string"])
-        diagnoses = _cleaned(diagnoses)
-    return with_diagnoses(found, diagnoses).select("row_number", "raw", *PATIENT_COLS, *_child(diagnoses))
+    diagnoses = _wanted(diagnoses, ids, clean)
+    return with_diagnoses(found, diagnoses, ids=ids).select("row_number", "raw", *PATIENT_COLS, *_child(diagnoses))
 
 
 def demographic_outcomes(patients: DataFrame, requests: DataFrame) -> DataFrame:
@@ -156,13 +166,12 @@ _PLACEHOLDER = re.compile(r"""'(?:[^']|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/|
 
 
 def run_template(spark: SparkSession, text: str, args: list | None = None, **views: DataFrame) -> DataFrame:
-    """Run a SELECT with ``?`` placeholders; values travel as arguments, tables as named views.
+    """Run a SELECT with ``?`` placeholders; values travel as arguments, and so do tables, which stand
+    in braces: ``FROM {people} p``. Views of the session stay as they are.
 
     Placeholders become named parameters in the order they stand in the text; those inside quotes
     and comments are text.
     """
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
     values = list(args or [])
     named: dict[str, object] = {}
 
@@ -177,4 +186,4 @@ def run_template(spark: SparkSession, text: str, args: list | None = None, **vie
     text = _PLACEHOLDER.sub(name_it, text.strip().rstrip(";"))
     if len(named) < len(values):
         raise ValueError("more values than placeholders")
-    return spark.sql(text, args=named)
+    return spark.sql(text, args=named, **views)

@@ -8,9 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import iso_text, strip
 from ..model import ID, PATIENT_FIELDS, VARYING_FIELDS
-from .skew import run_numbers, split_large_groups
-
-MOST_RECORDS = 100_000
+from .skew import run_numbers
 
 
 def person_fields(df: DataFrame) -> list[str]:
@@ -70,25 +68,26 @@ def json_object(df: DataFrame, names: list[str], keep_null: list[str]) -> Column
     return F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.lit("}"))
 
 
-def _grouped(df: DataFrame, record: Column, order: list[str], group: list[str], most: int) -> DataFrame:
-    """Rows ``(_group…, part, the person's fields, records, n_records)``; the fields are those of the first record in order."""
+def _grouped(df: DataFrame, record: Column, order: list[str], group: list[str]) -> DataFrame:
+    """Rows ``(_group…, the person's fields, records, n_records)``; the fields are those of the first record in order.
+
+    All records of one person are held by one task; see :func:`report_rows` for the form without that bound.
+    """
     fields = person_fields(df)
     slim = df.select(*[F.col(g).alias(f"_{g}") for g in group], F.struct(*order).alias("_order"),
                      F.struct(*fields).alias("_info"), record.alias("_record"))
     keys = [f"_{g}" for g in group]
-    return split_large_groups(slim, keys, most).groupBy(*keys, "part").agg(
+    return slim.groupBy(*keys).agg(
         F.min_by("_info", "_order").alias("info"),
         F.transform(F.sort_array(F.collect_list(F.struct("_order", "_record"))), lambda r: r["_record"]).alias("records"),
-        F.count("*").alias("n_records")).select(*keys, "part", "info.*", "records", "n_records")
+        F.count("*").alias("n_records")).select(*keys, "info.*", "records", "n_records")
 
 
 def _by(df: DataFrame, mode: str, order: list[str], group: str) -> tuple[DataFrame, list[str]]:
     if mode == "entity":
         return df, [group]
     if mode == "runs":
-        if len(order) != 1:
-            raise ValueError("runs need one order column with distinct values")
-        return run_numbers(df, [c for c in ("Name", "Vorname") if c in df.columns], order[0]), ["run"]
+        return run_numbers(df, [c for c in ("Name", "Vorname") if c in df.columns], order), ["run"]
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -97,42 +96,42 @@ def _keys(keys: list[str]) -> list[Column]:
 
 
 def grouped_report(df: DataFrame, order: list[str], mode: str = "entity", group: str = ID,
-                   leave: list[str] | None = None, most: int = MOST_RECORDS) -> DataFrame:
+                   leave: list[str] | None = None) -> DataFrame:
     """One row per person (or per run of rows about one person): fields of the person and an array of records.
 
-    A person with more than ``most`` records gets several rows, numbered by ``part``.
+    Every row is complete and in order, and made by one task, as are the two forms below.
     """
     fields, varying = person_fields(df), record_fields(df, leave)
     df, keys = _by(df, mode, order, group)
-    out = _grouped(df, F.struct(*varying), order, keys, most)
-    return out.select(*_keys(keys), "part", F.struct(*fields).alias("patient_info"), "records", "n_records")
+    out = _grouped(df, F.struct(*varying), order, keys)
+    return out.select(*_keys(keys), F.struct(*fields).alias("patient_info"), "records", "n_records")
 
 
 def json_documents(df: DataFrame, order: list[str], mode: str = "entity", group: str = ID, whole_rows: bool = False,
-                   leave: list[str] | None = None, most: int = MOST_RECORDS) -> DataFrame:
+                   leave: list[str] | None = None) -> DataFrame:
     """One JSON document per person: ``patient_info`` once, then ``diagnoses`` (or whole ``records``)."""
     left_out = leave or []
     fields = person_fields(df)
     names = [c for c in df.columns if c not in left_out] if whole_rows else record_fields(df, leave)
     df, keys = _by(df, mode, order, group)
     record = json_object(df, names, names if whole_rows else VARYING_FIELDS)
-    out = _grouped(df, record, order, keys, most)
+    out = _grouped(df, record, order, keys)
     label = "records" if whole_rows else "diagnoses"
-    return out.select(*_keys(keys), "part", F.concat(
+    return out.select(*_keys(keys), F.concat(
         F.lit('{"patient_info":'), json_object(out, fields, []), F.lit(f',"{label}":['), F.array_join("records", ","),
         F.lit("]}")).alias("document"))
 
 
 def text_report(df: DataFrame, order: list[str], mode: str = "entity", group: str = ID, dates: bool = False,
-                leave: list[str] | None = None, most: int = MOST_RECORDS) -> DataFrame:
+                leave: list[str] | None = None) -> DataFrame:
     """One text per person: lines of the person, a rule, then one line per value of each record."""
     fields, varying = person_fields(df), record_fields(df, leave)
     df, keys = _by(df, mode, order, group)
     record = F.array_join(F.array(*[cell_text(df, c) for c in varying]), "\n")
-    out = _grouped(df, record, order, keys, most)
+    out = _grouped(df, record, order, keys)
     info = F.array_join(F.array(*[cell_text(out, c, dates) for c in fields]), "\n")
     lines = F.filter(F.concat(F.array(info, F.lit("---")), F.col("records")), lambda x: x != "")
-    return out.select(*_keys(keys), "part", F.array_join(lines, "\n").alias("report"))
+    return out.select(*_keys(keys), F.array_join(lines, "\n").alias("report"))
 
 
 def section_rows(df: DataFrame, order: list[str], group: str = ID, leave: list[str] | None = None) -> DataFrame:
@@ -154,6 +153,25 @@ def section_rows(df: DataFrame, order: list[str], group: str = ID, leave: list[s
         .select("*", "cell.field", "cell.value").drop("cell")
 
 
+def report_rows(df: DataFrame, order: list[str], group: str = ID, leave: list[str] | None = None) -> DataFrame:
+    """:func:`section_rows` laid out in order of persons and records, ready to be written.
+
+    Partitions are ranges of person and order, so a person with very many records takes several, and nothing
+    of a person has to be held at once.
+    """
+    rows = section_rows(df, order, group, leave)
+    place = [F.col(group), F.col("section") != "Patient", *[F.col(f"order_{o}") for o in order], F.col("seq")]
+    return rows.repartitionByRange(*place).sortWithinPartitions(*place)
+
+
+def record_lines(df: DataFrame, order: list[str], group: str = ID, leave: list[str] | None = None) -> DataFrame:
+    """One JSON object per record, ``(group, line)``, in order of persons and records, laid out as :func:`report_rows`."""
+    names = [c for c in df.columns if c not in (leave or [])]
+    place = [group, *order]
+    laid = df.repartitionByRange(*place).sortWithinPartitions(*place)
+    return laid.select(group, json_object(df, names, names).alias("line"))
+
+
 def distinct_people(df: DataFrame) -> DataFrame:
     """Number of different (Name, Vorname), rows with neither left out."""
     known = df.where(F.col("Name").isNotNull() | F.col("Vorname").isNotNull())

@@ -1,76 +1,45 @@
-"""Splitting of groups too large for one task, and running counts along an order."""
+"""Joins whose large side splits, and running counts along an order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
-def split_large_groups(df: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Add ``part``: 0 in groups of up to ``most`` rows, else numbers that share the rows out evenly.
+def padded(child: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``child`` and a row of nulls for each id of ``ids (key)`` that it does not hold.
 
-    A pass over the key columns looks for large groups first; mostly there are none and nothing more
-    happens. The rows of large groups are told apart by content; of equal rows one is kept with a
-    count until they have been shared out, so copies split up too.
+    An inner join with it is a left join with ``child``, but one in which the adaptive planner can split
+    the rows of a person who has very many; of an outer join it splits only the outer side.
     """
-    large = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
-    if large.isEmpty():
-        return df.withColumn("part", F.lit(0))
-    large = cut_lineage(large)
-    small = df.join(large, keys, "left_anti").withColumn("part", F.lit(0))
-    columns = df.columns
-    rows = df.join(large, keys).groupBy(*columns, "_rows").agg(F.count("*").alias("_copies"))
-    last = F.floor((F.col("_copies") - 1) / most)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_share"))
-    part = F.pmod(F.xxhash64(*columns, "_share"), F.ceil(F.col("_rows") / most)).cast("int")
-    here = F.least(F.lit(most), F.col("_copies") - F.col("_share") * most).cast("int")
-    rows = rows.select(*columns, part.alias("part"), F.explode(F.array_repeat(F.lit(0), here))).select(*columns, "part")
-    return small.unionByName(rows)
+    known = child.select(key).distinct()
+    missing = ids.select(key).distinct().join(known, key, "left_anti")
+    return child.where(F.col(key).isNotNull()).unionByName(missing, allowMissingColumns=True)
 
 
-def _branch(order: Column, bounds: list, first: int) -> Column:
-    """Number of bounds below a value, found by halving."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    return F.when(order > F.lit(bounds[mid]), _branch(order, bounds[mid + 1:], first + mid + 1)) \
-        .otherwise(_branch(order, bounds[:mid], first))
+def chunked(df: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
+    """Add ``_chunk``: stretches along the order, one for each of ``chunks`` range partitions.
 
-
-ROWS_PER_CHUNK = 5_000_000
-MOST_CHUNKS = 4096
-
-
-def _bounds(df: DataFrame, order: str, chunks: int) -> tuple[int, list]:
-    shares = F.expr(f"array({', '.join(f'{i / chunks!r}D' for i in range(1, chunks))})")
-    found = df.select(F.count("*").alias("n"), F.percentile_approx(order, shares, 10 * chunks).alias("bounds")).first()
-    return found["n"], found["bounds"] or []
-
-
-def chunked(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
-    """Add ``_chunk``: stretches of near-equal size along a number or date column.
-
-    There are as many as there are shuffle partitions, more where the table is large. The bounds are
-    quantiles worked out beforehand and fixed in the plan, so every pass sees the same stretches.
+    Written once, so that every pass sees the same stretches. Without ``chunks`` there are as many as
+    there are shuffle partitions.
     """
-    first = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    n, bounds = _bounds(df, order, first)
-    if chunks is None and n > first * ROWS_PER_CHUNK:
-        n, bounds = _bounds(df, order, min(-(-n // ROWS_PER_CHUNK), MOST_CHUNKS))
-    return df.withColumn("_chunk", _branch(F.col(order), sorted(set(bounds)), 0))
+    count = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    return cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))
 
 
-def run_numbers(df: DataFrame, keys: list[str], order: str, chunks: int | None = None) -> DataFrame:
+def run_numbers(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
     """Add ``run``: it grows by one where the keys differ from those of the last row that had any.
 
-    ``order`` must be distinct. Each stretch of the order is worked through on its own; only the first
-    and last keys and the number of changes of each stretch are then brought in line.
+    Rows that are equal in all columns of ``order`` come in any order, so name enough of them. Each
+    stretch of the order is worked through on its own; only one row per stretch, its first and last keys
+    and number of changes, is then brought in line.
     """
     has_key = F.coalesce(*keys).isNotNull()
     df = chunked(df, order, chunks).withColumn("_key", F.when(has_key, F.struct(*keys)))
-    within = Window.partitionBy("_chunk").orderBy(order)
+    within = Window.partitionBy("_chunk").orderBy(*order)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_before", F.last("_key", ignorenulls=True).over(before))
     change = F.col("_key").isNotNull() & F.col("_before").isNotNull() & (F.col("_key") != F.col("_before"))
@@ -80,8 +49,8 @@ def run_numbers(df: DataFrame, keys: list[str], order: str, chunks: int | None =
                          "_open": F.max(opens.cast("int")).over(upto)})
     ends = df.groupBy("_chunk").agg(
         F.max("_changes").alias("_inside"),
-        F.min_by("_key", F.when(F.col("_key").isNotNull(), F.col(order))).alias("_first"),
-        F.max_by("_key", F.when(F.col("_key").isNotNull(), F.col(order))).alias("_last"))
+        F.min_by("_key", F.when(F.col("_key").isNotNull(), F.struct(*order))).alias("_first"),
+        F.max_by("_key", F.when(F.col("_key").isNotNull(), F.struct(*order))).alias("_last"))
     earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_previous", F.last("_last", ignorenulls=True).over(earlier))
     starts = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_previous"))

@@ -272,24 +272,24 @@ ORACLE: dict[str, str] = {
         WHEN length(c_name) > 0 THEN '***' END AS masked FROM customer""",
     "q_mask_preview": f"SELECT c_custkey, {_preview('c_name')} AS name, {_preview('c_mktsegment')} AS segment FROM customer",
     "q_distinct_patients": _with(PATIENTS) + 'SELECT count(*) AS people FROM (SELECT DISTINCT "Name", "Vorname" FROM patients)',
-    "q_group_report": _REPORTS + f"""SELECT "PatientID", CAST(0 AS INTEGER) AS part, count(*) AS n_records, any_value("Name") AS "Name", any_value("Vorname") AS "Vorname",
+    "q_group_report": _REPORTS + f"""SELECT "PatientID", count(*) AS n_records, any_value("Name") AS "Name", any_value("Vorname") AS "Vorname",
         string_agg(concat_ws('|', CAST("Date" AS VARCHAR), "ICD10"), ';' ORDER BY {_IN_ORDER}) AS codes FROM records GROUP BY "PatientID\"""",
     "q_group_runs": _with(PATIENTS, IDS) + """, found AS (SELECT i.row_number, p.* FROM ids i JOIN patients p ON p."PatientID" = i.id),
         marked AS (SELECT *, CASE WHEN ("Name", "Vorname") IS DISTINCT FROM lag(("Name", "Vorname")) OVER (ORDER BY row_number) THEN 1 ELSE 0 END AS opens FROM found),
         counted AS (SELECT *, CAST(sum(opens) OVER (ORDER BY row_number) AS BIGINT) AS run FROM marked)
-        SELECT run, CAST(0 AS INTEGER) AS part, count(*) AS n_records, any_value("Name") AS "Name", any_value("Vorname") AS "Vorname",
+        SELECT run, count(*) AS n_records, any_value("Name") AS "Name", any_value("Vorname") AS "Vorname",
         arg_min("PatientID", row_number) AS "PatientID", min(row_number) AS first_row FROM counted GROUP BY run""".replace(") , found", "), found"),
     "q_redundant_flag": _REPORTS + f"""SELECT count(*) = 2 AND count(DISTINCT ("Name", "Vorname", "PatientID", "Geburtsdatum")) = 1 AS redundant
         FROM (SELECT * FROM records ORDER BY "PatientID", {_IN_ORDER} LIMIT 2)""",
     "q_txt_lines": _with(PATIENTS) + f"SELECT \"PatientID\", CAST(pos AS INTEGER) AS pos, line FROM ({_LINES})",
-    "q_txt_report": _REPORTS + f"""SELECT "PatientID", CAST(0 AS INTEGER) AS part, any_value("Name") || chr(10) || any_value("Vorname") || chr(10) || "PatientID"
+    "q_txt_report": _REPORTS + f"""SELECT "PatientID", any_value("Name") || chr(10) || any_value("Vorname") || chr(10) || "PatientID"
         || chr(10) || '---' || chr(10) || string_agg(concat_ws(chr(10), "Dauernotiz", "ICD10", "Bezeichnung"), chr(10) ORDER BY {_IN_ORDER}) AS report
         FROM records GROUP BY "PatientID\"""",
     "q_section_rows": _REPORTS + _SECTIONS,
-    "q_json_doc": _REPORTS + f"""SELECT "PatientID", CAST(0 AS INTEGER) AS part, any_value({_INFO}) || '"diagnoses":[' || string_agg(
+    "q_json_doc": _REPORTS + f"""SELECT "PatientID", any_value({_INFO}) || '"diagnoses":[' || string_agg(
         '{{"Dauernotiz":"' || "Dauernotiz" || '","ICD10":' || {_quoted('"ICD10"')} || ',"Bezeichnung":' || {_quoted('"Bezeichnung"')}
         || coalesce(',"Date":"' || CAST("Date" AS VARCHAR) || '"', '') || '}}', ',' ORDER BY {_IN_ORDER}) || ']}}' AS document FROM records GROUP BY "PatientID\"""",
-    "q_json_records": _REPORTS + f"""SELECT "PatientID", CAST(0 AS INTEGER) AS part, any_value({_INFO}) || '"records":[' || string_agg(
+    "q_json_records": _REPORTS + f"""SELECT "PatientID", any_value({_INFO}) || '"records":[' || string_agg(
         '{{"PatientID":' || "PatientID" || ',"Vorname":"' || "Vorname" || '","Name":"' || "Name" || '","Geburtsdatum":"' || CAST("Geburtsdatum" AS VARCHAR)
         || '","Dauernotiz":"' || "Dauernotiz" || '","ICD10":' || {_quoted('"ICD10"')} || ',"Bezeichnung":' || {_quoted('"Bezeichnung"')}
         || ',"Date":' || {_quoted('CAST("Date" AS VARCHAR)')} || '}}', ',' ORDER BY {_IN_ORDER}) || ']}}' AS document FROM records GROUP BY "PatientID\"""",

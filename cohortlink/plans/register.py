@@ -27,7 +27,7 @@ STRICT = LinkConfig(min_score=0.75)
 
 TEMPLATE = """
 SELECT p.PatientID, p.Name, p.Geburtsdatum, d.ICD10
-FROM people p LEFT JOIN findings d ON p.PatientID = d.PatientID AND d.Bezeichnung = ?
+FROM {people} p LEFT JOIN {findings} d ON p.PatientID = d.PatientID AND d.Bezeichnung = ?
 WHERE p.Geburtsdatum BETWEEN ? AND ? AND (? IS NULL OR p.Name = ?) AND p.Vorname IN (?, ?)
 ORDER BY p.PatientID;
 """
@@ -297,14 +297,14 @@ def q_distinct_patients(spark, folder):
 def q_group_report(spark, folder):
     report = grouped_report(_records(spark, folder), RECORD_ORDER)
     codes = F.array_join(F.transform("records", lambda r: F.concat_ws("|", r["Date"].cast("string"), r["ICD10"])), ";")
-    return report.select("PatientID", "part", "n_records", "patient_info.Name", "patient_info.Vorname", codes.alias("codes"))
+    return report.select("PatientID", "n_records", "patient_info.Name", "patient_info.Vorname", codes.alias("codes"))
 
 
 @query
 def q_group_runs(spark, folder):
     rows = lookup_by_id(views.patients(spark, folder), views.id_list(spark, folder))
     report = grouped_report(rows, ["row_number"], mode="runs")
-    return report.select("run", "part", "n_records", "patient_info.Name", "patient_info.Vorname", "patient_info.PatientID",
+    return report.select("run", "n_records", "patient_info.Name", "patient_info.Vorname", "patient_info.PatientID",
                          F.col("records")[0]["row_number"].alias("first_row"))
 
 

@@ -7,7 +7,7 @@ from cohortlink import (TableSpec, by_birth_years, by_demographics, by_id, by_la
                         demographic_outcomes, demographic_requests, demographic_summary, id_failures, id_requests,
                         id_summary, link_tables, lookup_by_demographics, lookup_by_id, read_demographic_requests,
                         read_id_requests, run_template)
-from cohortlink.operators.lookup import name_pattern
+from cohortlink.operators.lookup import name_pattern, with_diagnoses
 
 
 def write(path, text, encoding="utf-8"):
@@ -102,7 +102,7 @@ def test_filters_reach_the_scan(spark, tmp_path, patients):
 
 def test_template(spark, patients, diagnoses):
     text = """-- who? nobody knows
-        SELECT p.Name, d.ICD10 FROM people p LEFT JOIN findings d ON p.PatientID = d.PatientID AND d.ICD10 <> ?
+        SELECT p.Name, d.ICD10 FROM {people} p LEFT JOIN {findings} d ON p.PatientID = d.PatientID AND d.ICD10 <> ?
         WHERE p.PatientID IN (?, ?) AND (? IS NULL OR p.Name = ?) AND p.Geburtsdatum BETWEEN ? AND ? AND p.Name <> 'what?';"""
     args = ["I10", 1001, 1002, None, None, date(1970, 1, 1), date(1990, 1, 1)]
     got = run_template(spark, text, args, people=patients, findings=diagnoses).collect()
@@ -113,6 +113,51 @@ def test_template(spark, patients, diagnoses):
         run_template(spark, text, args + [1], people=patients, findings=diagnoses)
 
 
+def test_template_leaves_views_alone(spark, patients, diagnoses):
+    spark.range(3).createOrReplaceTempView("people")
+    run_template(spark, "SELECT count(*) AS n FROM {people}", people=patients).collect()
+    assert spark.table("people").count() == 3
+    spark.catalog.dropTempView("people")
+
+
+def test_only_the_cells_of_people_asked_for_are_cleaned(spark):
+    """In the plan the cleaning stands above the semi join of every table."""
+    from cohortlink.plans.register import QUERIES
+
+    def below(node):
+        nodes = [node]
+        for i in range(node.children().size()):
+            nodes += below(node.children().apply(i))
+        return nodes
+    for name in ("q_batch_ids", "q_link_left"):
+        nodes = below(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+        cleaned = [n for n in nodes if n.nodeName() == "ArrowEvalPython"]
+        assert cleaned
+        for node in cleaned:
+            assert any(n.nodeName() == "Join" and n.joinType().toString() == "LeftSemi" for n in below(node))
+
+
+@pytest.mark.parametrize("link", [False, True])
+def test_very_many_rows_of_one_person_are_split(spark, tmp_path, link):
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        people = spark.range(400).select(F.col("id").alias("PatientID"), F.lit("n").alias("Name"))
+        many = spark.range(60_000).select(F.when(F.col("id") < 54_000, 7).otherwise(F.col("id") % 300).cast("bigint").alias("PatientID"),
+                                          F.sha2(F.col("id").cast("string"), 256).alias("ICD10"), F.lit("b").alias("Bezeichnung"))
+        out = (link_tables(TableSpec("p", people), [TableSpec("d", many, ["ICD10"])], clean=False) if link
+               else with_diagnoses(people, many))
+        rows = out.collect()
+        assert len(rows) == 60_000 + 100 and sum(r.ICD10 is None for r in rows) == 100
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.fixture
 def specs(spark, patients, diagnoses):
     extra = spark.createDataFrame([(1001, "Frau M", 5), (77, "Nobody", 6)], "PatID bigint, Name string, Level int")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cohortlink import (audit_log, catalog_of, discover_key_tables, distinct_people, grouped_report, json_documents, list_tables,
                         login_line, redundant, run_status, run_summary, search_line, section_rows, session_catalog, split_counts,
                         table_columns, table_summary, text_report, value_lines, write_reports, write_results)
-from cohortlink.operators.skew import chunked, run_numbers, split_large_groups
+from cohortlink.operators.report import record_lines, report_rows
+from cohortlink.operators.skew import chunked, run_numbers
 from cohortlink.sinks.writers import output_format
 
 
@@ -69,19 +70,26 @@ def test_people_and_redundancy(spark, records):
     assert redundant(records.drop("ICD10", "Bezeichnung"), ["n"]).first().redundant is False
 
 
-def test_large_groups_are_split_whole(spark):
-    hot = spark.range(900).select(F.lit(1).alias("k"), (F.col("id") % 7).alias("v"))
-    copies = spark.range(500).select(F.lit(2).alias("k"), F.lit(5).cast("bigint").alias("v"))
-    few = spark.range(40).select((F.col("id") + 10).cast("int").alias("k"), F.col("id").alias("v"))
-    df = hot.union(copies).union(few)
-    out = split_large_groups(df, ["k"], 50)
-    assert out.groupBy("k", "v").count().exceptAll(df.groupBy("k", "v").count()).count() == 0
-    assert out.count() == df.count()
-    sizes = out.groupBy("k", "part").count().collect()
-    assert len([s for s in sizes if s.k == 1]) > 5 and len([s for s in sizes if s.k == 2]) > 3
-    assert all(s.part == 0 for s in sizes if s.k >= 10)
-    report = grouped_report(df.withColumnsRenamed({"k": "PatientID", "v": "ICD10"}), ["ICD10"], most=50)
-    assert report.agg(F.sum("n_records")).first()[0] == df.count()
+def test_very_many_records_of_one_person_keep_order_and_count(spark):
+    hot = spark.range(30_000).select(F.lit(7).cast("bigint").alias("PatientID"), F.lit("N").alias("Name"), F.col("id").alias("n"),
+                                     F.concat(F.lit("C"), "id").alias("ICD10"))
+    few = spark.range(50).select((F.col("id") + 10).alias("PatientID"), F.lit("M").alias("Name"), F.col("id").alias("n"), F.lit("X").alias("ICD10"))
+    df = hot.union(few).repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = report_rows(df, ["n"], leave=["n"])
+    lines = record_lines(df, ["n"])
+    for laid, own in ((rows, lambda r: r.PatientID == 7 and r.section == "Diagnoses"), (lines, lambda r: r.PatientID == 7)):
+        # Partitions of a range exchange come in order.
+        parts = laid.withColumn("at", F.spark_partition_id()).collect()
+        mine = [r for r in parts if own(r)]
+        assert len(mine) == 30_000 and len({r.at for r in mine}) > 1
+        order = [r.order_n for r in mine] if "order_n" in laid.columns else [json.loads(r.line)["n"] for r in mine]
+        assert order == list(range(30_000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r.field for r in rows.where("PatientID = 7").collect()[:3]] == ["Name", "PatientID", "ICD10"]
+    assert lines.count() == df.count()
+    report = grouped_report(df, ["n"]).where("PatientID = 7").collect()
+    assert len(report) == 1 and [r.ICD10 for r in report[0].records] == [f"C{i}" for i in range(30_000)]
 
 
 @pytest.mark.parametrize("chunks", [2, 5, 40])
@@ -96,10 +104,10 @@ def test_runs_along_an_order(spark, chunks):
             run, last = run + 1, key
         want[n] = run
     df = spark.createDataFrame(rows, "n bigint, Name string, Vorname string").repartition(7)
-    got = {r.n: r.run for r in run_numbers(df, ["Name", "Vorname"], "n", chunks).collect()}
+    got = {r.n: r.run for r in run_numbers(df, ["Name", "Vorname"], ["n"], chunks).collect()}
     assert got == want
-    sizes = [r["count"] for r in chunked(df, "n", chunks).groupBy("_chunk").count().collect()]
-    assert len(sizes) == chunks and max(sizes) <= 2 * 300 / chunks + 2
+    sizes = [r["count"] for r in chunked(df, ["n"], chunks).groupBy("_chunk").count().collect()]
+    assert len(sizes) <= chunks and max(sizes) <= 2 * 300 / chunks + 2
 
 
 def test_catalog(spark, records):
