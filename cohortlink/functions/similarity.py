@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import WHITESPACE
+
 # Sent to tasks by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,6 +29,9 @@ FAR_WINDOW = 0.6
 WINDOW_FROM = 1.5
 FAR_FROM = 8.0
 
+# One blank of any kind, as str.split() knows them, for regular expressions of the JVM.
+BLANK = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "]"
+
 _NATIVE_LIMIT = 61  # letters whose matches fit the bits of one long value
 
 
@@ -51,7 +56,13 @@ def _ratio(a: str, b: str) -> float:
 
 
 def _best_window(a: str, b: str) -> float:
-    short, long = sorted((a, b), key=len)
+    """Best window of the longer string; of two equally long ones, of either."""
+    if len(a) == len(b):
+        return max(_slide(a, b), _slide(b, a))
+    return _slide(*sorted((a, b), key=len))
+
+
+def _slide(short: str, long: str) -> float:
     size = len(short)
     if not size:
         return 0.0
@@ -143,7 +154,7 @@ def common_letters(a: Column, b: Column) -> Column:
 def _plain(a: Column, b: Column) -> Column:
     """True where only the base ratio can decide: one word each, lengths alike, short enough."""
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return (longer < shorter * WINDOW_FROM) & (longer <= _NATIVE_LIMIT) & ~a.rlike(r"\s") & ~b.rlike(r"\s")
+    return (longer < shorter * WINDOW_FROM) & (longer <= _NATIVE_LIMIT) & ~a.rlike(BLANK) & ~b.rlike(BLANK)
 
 
 def similarity_of_many(a: Column, b: Column) -> Column:

@@ -48,6 +48,14 @@ NO_NAME = "Missing first name or last name"
 BAD_DOB = "Invalid DOB format: "
 NO_DOB = "DOB is required for exact match"
 NO_MATCH = "No matching patient found"
+NO_CRITERIA = "At least one search parameter is required for fuzzy search"
+
+# Notes on compared fields.
+NO_INPUT_NAME = "Input name not provided"
+NO_STORED_NAME = "DB name not provided"
+NO_INPUT_DOB = "Input DOB not provided"
+NO_STORED_DOB = "DB DOB not provided"
+YEARS_APART = "Year diff: "
 
 # Output formats, and the file endings that imply them.
 FORMATS = ["json", "csv", "tsv", "txt"]
@@ -55,7 +63,7 @@ FORMAT_BY_SUFFIX = {".json": "json", ".csv": "csv", ".tsv": "tsv", ".txt": "txt"
 
 # Weight per field and score per match type.
 WEIGHTS = {"LastName": 0.4, "FirstName": 0.3, "DOB": 0.3}
-SCORES = {"Exact": 1.0, "Fuzzy": "use_similarity", "YearMismatch": 0.7, "MissingInput": 0.0,
+SCORES = {"Exact": 1.0, "Fuzzy": "use_similarity", "YearMismatch": 0.7,
           "MissingDBValue": -0.1, "Mismatch": 0.0, "NotCompared": 0.0}
 
 

@@ -114,6 +114,19 @@ _BATCH = _with(PATIENTS, DIAGNOSES, REQUESTS, _scored("""
   WHERE CASE WHEN r.dob IS NOT NULL THEN year(p."Geburtsdatum") BETWEEN year(r.dob) - 1 AND year(r.dob) + 1
     WHEN r.last_name <> '' THEN starts_with(p."Name", r.last_name) ELSE TRUE END""", 0.75))
 
+_VARIED = f"""asked_for AS (SELECT * REPLACE (CASE WHEN row_number % 23 = 5 THEN '' ELSE last_name END AS last_name) FROM requests),
+  known AS (SELECT * REPLACE (CASE WHEN "PatientID" % 19 <> 4 THEN "Name" END AS "Name") FROM patients),
+  judged AS (SELECT *, CASE WHEN first_name = '' AND last_name = '' AND dob_raw = '' THEN 'At least one search parameter is required for fuzzy search'
+    WHEN dob_raw <> '' AND dob IS NULL THEN 'Invalid DOB format: ' || dob_raw END AS reason FROM asked_for)"""
+
+
+def _varied(least: float) -> str:
+    return _with(PATIENTS, DIAGNOSES, REQUESTS, _VARIED, _scored("""
+  SELECT r.row_number, r.raw, r.first_name AS fi, r.last_name AS la, r.dob, p.* FROM judged r, known p
+  WHERE r.reason IS NULL AND CASE WHEN r.dob IS NOT NULL THEN year(p."Geburtsdatum") BETWEEN year(r.dob) - 1 AND year(r.dob) + 1
+    WHEN r.last_name <> '' THEN starts_with(p."Name", r.last_name) ELSE TRUE END""", least))
+
+
 _LINK = """SELECT i.row_number, p."PatientID", p."Vorname", p."Name", d."PatientID" AS "diagnoses_PatientID", d."ICD10",
   d."Bezeichnung", CAST(d."Date" AS VARCHAR) AS "Date", c."Name" AS "contacts_Name", c."Segment"
   FROM patients p {how} JOIN diagnoses d ON p."PatientID" = d."PatientID" {how} JOIN contacts c ON p."PatientID" = c."PatientID"
@@ -264,6 +277,11 @@ ORACLE: dict[str, str] = {
     "q_fuzzy_flat": _BATCH + f"""SELECT overall_score, primary_match_type, row_number AS csv_input_row_number, {PATIENT}, {_FLAT} FROM scored p""",
     "q_fuzzy_detail": _BATCH + _DETAIL,
     "q_fuzzy_compact": _BATCH + """SELECT "Name", CAST("Geburtsdatum" AS VARCHAR) AS "DOB", overall_score AS "Score", primary_match_type AS "Match Type" FROM scored""",
+    "q_fuzzy_default": _varied(0.3) + 'SELECT row_number AS csv_input_row_number, "PatientID", overall_score, primary_match_type FROM scored',
+    "q_fuzzy_default_top3": _varied(0.3) + """SELECT csv_input_row_number, "PatientID", overall_score, rank FROM (SELECT row_number AS csv_input_row_number, "PatientID", overall_score,
+        CAST(row_number() OVER (PARTITION BY row_number ORDER BY overall_score DESC, "PatientID") AS INTEGER) AS rank FROM scored) WHERE rank <= 3""",
+    "q_fuzzy_outcome": _varied(0.75) + """SELECT row_number, coalesce(reason, CASE WHEN row_number NOT IN (SELECT row_number FROM scored)
+        THEN 'No matching patient found' END) AS reason FROM judged""",
     "q_html_clean": f"SELECT page_id, {_cleaned('html')} AS text FROM pages",
     "q_redact_secrets": r"""SELECT doc_id, regexp_replace(text, '(?i)(password|pwd|secret|token|key)[''"]?\s*[:=]\s*[''"]?[^\s''"]+',
         '\1=***REDACTED***', 'g') AS text FROM documents""",

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import (LinkConfig, TableSpec, all_patients, audit_log, best_matches, by_birth_years, by_demographics, by_id,
                 by_last_name, clean_html, compact_matches, demographic_misses, demographic_outcomes,
-                demographic_summary, distinct_people, flat_matches, fuzzy_link, fuzzy_search, grouped_report,
+                demographic_summary, distinct_people, flat_matches, fuzzy_link, fuzzy_outcomes, fuzzy_search, grouped_report,
                 id_failures, id_summary, json_documents, link_tables, lookup_by_demographics, lookup_by_id,
                 mask_preview, mask_user, redact_dates, redact_secrets, redundant, run_summary, run_template,
                 search_line, section_rows, similarity, split_counts, text_report, value_lines)
@@ -258,6 +258,33 @@ def q_fuzzy_compact(spark, folder):
     return compact_matches(_matches(spark, folder))
 
 
+def _varied(spark, folder):
+    """People of whom some have no last name, and requests of which some give none."""
+    people = views.patients(spark, folder).withColumn("Name", F.when(F.col("PatientID") % 19 != 4, F.col("Name")))
+    asked = views.requests(spark, folder).withColumn("last_name", F.when(F.col("row_number") % 23 == 5, "").otherwise(F.col("last_name")))
+    return people, asked
+
+
+def _default_matches(spark, folder):
+    return _rounded(fuzzy_link(*_varied(spark, folder)))
+
+
+@query
+def q_fuzzy_default(spark, folder):
+    return _default_matches(spark, folder).select("csv_input_row_number", "PatientID", "overall_score", "primary_match_type")
+
+
+@query
+def q_fuzzy_default_top3(spark, folder):
+    return best_matches(_default_matches(spark, folder), 3).select("csv_input_row_number", "PatientID", "overall_score", "rank")
+
+
+@query
+def q_fuzzy_outcome(spark, folder):
+    people, asked = _varied(spark, folder)
+    return fuzzy_outcomes(fuzzy_link(people, asked, STRICT), asked)
+
+
 @query
 def q_html_clean(spark, folder):
     return spark.read.parquet(f"{folder}/pages.parquet").select("page_id", clean_html("html").alias("text"))
