@@ -38,15 +38,18 @@ from .common import stored
 # Sent to tasks by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DEPTH = 6  # bytes of context
+DEPTH = 5  # bytes of context
 SPLIT = 2  # nearest bytes that name a subtree
 END = 10
 WORD_PARTS = 10  # bits of a word's hash that name a part
 FIRST_WORD_PART = 1 << 8 * SPLIT
 END_WORD = b""
 COUNTED = 1 << 21  # numbers a task gathers before it adds them up
-BLOCK = 4 << 20  # bytes of text scored together
+BLOCK = 8 << 20  # bytes of text scored together
 SMOOTHING = 0.1
+# Below its part a gram has so many bits.
+SUFFIX = 8 * (DEPTH + 1 - SPLIT)
+NARROW = np.uint32 if SUFFIX <= 32 else np.uint64
 
 PACKED = "part int, keys binary, counts binary"
 
@@ -124,16 +127,32 @@ def cut(parts: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def packed(sums: tuple[np.ndarray, np.ndarray], parts: np.ndarray) -> pa.RecordBatch:
+    """A row for each part; numbers take as few bytes as they need."""
+    keys, counts = sums
+    keys = keys.astype(NARROW) if len(parts) and parts[0] < FIRST_WORD_PART else keys
+    counts = counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts
     runs = cut(parts)
     return pa.RecordBatch.from_arrays(
         [pa.array([p for p, _, _ in runs], pa.int32())]
-        + [pa.array([column[b:e].tobytes() for _, b, e in runs], pa.binary()) for column in sums], ["part", "keys", "counts"])
+        + [pa.array([column[b:e].tobytes() for _, b, e in runs], pa.binary()) for column in (keys, counts)], ["part", "keys", "counts"])
 
 
 def unpack(cell, kind) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), kind)
 
 
+def unpack_keys(cell, part: int) -> np.ndarray:
+    if part >= FIRST_WORD_PART:
+        return unpack(cell, np.uint64)
+    suffix = unpack(cell, NARROW).astype(np.uint64) & np.uint64((1 << SUFFIX) - 1)
+    return suffix | np.uint64(part) << np.uint64(SUFFIX)
+
+
+def unpack_counts(cell, n: int) -> np.ndarray:
+    buffer = cell.as_buffer()
+    return np.frombuffer(buffer, np.uint32 if buffer.size == 4 * n else np.int64).astype(np.int64)
+
+
 # Counting -----------------------------------------------------------------------------------------------
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +198,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done = sums.close()
                     yield packed(done, np.full(len(done[0]), part))
                 part, sums = p, Sums()
-            sums.add(unpack(keys, np.uint64), unpack(counts, np.int64))
+            own = unpack_keys(keys, p)
+            sums.add(own, unpack_counts(counts, len(own)))
     if part is not None:
         done = sums.close()
         yield packed(done, np.full(len(done[0]), part))
@@ -187,21 +207,26 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # The tree -----------------------------------------------------------------------------------------------
 
-_HALVES = np.concatenate(([math.lgamma(0.5)], math.lgamma(0.5) + np.cumsum(np.log(np.arange(255) + 0.5))))
-_WHOLES = np.concatenate(([0.0], np.cumsum(np.log(np.arange(255) + 1.0))))
+_TABLED = 1 << 14
+_HALVES = np.concatenate(([math.lgamma(0.5)], math.lgamma(0.5) + np.cumsum(np.log(np.arange(_TABLED - 1) + 0.5))))
+_WHOLES = np.concatenate(([0.0], np.cumsum(np.log(np.arange(_TABLED - 1) + 1.0))))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    x = np.maximum(x, 200.0)
     return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x ** 3)
 
 
+def _looked_up(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    found = table[np.minimum(n, _TABLED - 1)]
+    large = np.flatnonzero(n >= _TABLED)
+    found[large] = _log_gamma(n[large] + more)
+    return found
+
+
 def log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    def half(n):
-        return np.where(n < 256, _HALVES[np.minimum(n, 255)], _log_gamma(n + 0.5))
-    n = n0 + n1
-    return half(n0) + half(n1) - np.where(n < 256, _WHOLES[np.minimum(n, 255)], _log_gamma(n + 1.0)) - math.log(math.pi)
+    return (_looked_up(n0, _HALVES, 0.5) + _looked_up(n1, _HALVES, 0.5) - _looked_up(n0 + n1, _WHOLES, 1.0)
+            - math.log(math.pi))
 
 
 class Level:
@@ -212,8 +237,9 @@ class Level:
         symbol = keys & np.uint64(255)
         nodes = (keys >> np.uint64(8) << np.uint64(8)) | (symbol >> np.uint64(8 - bit))
         one = (symbol >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-        begins = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1]))) if len(nodes) else np.zeros(0, np.int64)
-        self.keys = nodes[begins]
+        new = np.concatenate(([True], nodes[1:] != nodes[:-1])) if len(nodes) else np.zeros(0, bool)
+        begins = np.flatnonzero(new)
+        self.keys, self.of = nodes[begins], np.cumsum(new) - 1  # nodes, and the node of each key
         empty = np.zeros(0, np.int64)
         self.n1 = np.add.reduceat(np.where(one, counts, 0), begins) if len(begins) else empty
         self.n0 = np.add.reduceat(np.where(one, 0, counts), begins) if len(begins) else empty
@@ -243,10 +269,15 @@ class Subtree:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.levels: list[list[Level]] = [[] for _ in range(DEPTH + 1)]
+        self.keys, self.places = keys, [None] * (DEPTH + 1)
         symbol = keys & np.uint64(255)
         for depth in range(DEPTH, SPLIT - 1, -1):
-            own = (keys >> np.uint64(8 * (DEPTH + 1 - depth)) << np.uint64(8)) | symbol
-            own, sums = (keys, counts) if depth == DEPTH else tally(own, counts)
+            own, sums, place = keys, counts, np.arange(len(keys))
+            if depth < DEPTH:
+                own = (keys >> np.uint64(8 * (DEPTH + 1 - depth)) << np.uint64(8)) | symbol
+                own, place = np.unique(own, return_inverse=True)
+                sums = np.bincount(place, counts, len(own)).astype(np.int64)
+            self.places[depth] = place
             for bit in range(8):
                 level = Level(own, sums, bit)
                 if depth < DEPTH:
@@ -262,6 +293,15 @@ class Subtree:
             below = _mixed(self.levels[depth][bit], node_keys(keys, depth, bit), below)
         return below
 
+    def own_ones(self, bit: int) -> np.ndarray:
+        """The same for its own grams, whose nodes are all known."""
+        below = None
+        for depth in range(DEPTH, SPLIT - 1, -1):
+            level = self.levels[depth][bit]
+            at = level.of[self.places[depth]]
+            below = level.ones[at] if below is None else level.own[at] * level.ones[at] + (1 - level.own[at]) * below
+        return below
+
 
 def _mixed(level: Level, nodes: np.ndarray, below: np.ndarray) -> np.ndarray:
     """A level's estimate mixed with that from below; a level without counts passes on what is below."""
@@ -310,12 +350,11 @@ class Top:
         return np.where(np.isnan(below), 0.5, below)
 
 
-def log10s(keys: np.ndarray, subtree: Subtree, top: Top) -> np.ndarray:
-    """Logarithms of the probabilities of grams' bytes."""
+def log10s(keys: np.ndarray, subtree: Subtree, top: Top, own: bool = False) -> np.ndarray:
+    """Logarithms of the probabilities of grams' bytes; ``own`` when they are the subtree's grams themselves."""
     total = np.zeros(len(keys))
     for bit in range(8):
-        # Grams in order share their leading bits with those beside them, not with all, so nodes are looked up as they are.
-        ones = top.ones(keys, bit, subtree.ones(keys, bit))
+        ones = top.ones(keys, bit, subtree.own_ones(bit) if own else subtree.ones(keys, bit))
         one = (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
         total += np.log10(np.where(one, ones, 1 - ones))
     return total
@@ -325,8 +364,9 @@ def _roll_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task code: a subtree's counts to sums for its parents; a node is context, bit and leading bits in one number."""
     for batch in batches:
         nodes, columns = [], []
-        for keys, counts in zip(batch.column(1), batch.column(2)):
-            for bit, level in enumerate(Subtree(unpack(keys, np.uint64), unpack(counts, np.int64)).levels[SPLIT]):
+        for part, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            own = unpack_keys(keys, part)
+            for bit, level in enumerate(Subtree(own, unpack_counts(counts, len(own))).levels[SPLIT]):
                 nodes.append((level.keys >> np.uint64(16) << np.uint64(16)) | np.uint64(bit << 8) | (level.keys & np.uint64(255)))
                 columns.append(np.stack((level.n0, level.n1, level.log)))
         if nodes:
@@ -353,7 +393,7 @@ def learn(texts: DataFrame) -> Model:
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [unpack(c, np.int64) for c in batch.column(2)]
+            own = [unpack_counts(c, len(unpack(k, np.uint64))) for k, c in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([pa.array([int(o.sum()) for o in own], pa.int64()),
                                               pa.array([len(o) for o in own], pa.int64())], ["tokens", "words"])
     row = (counts.where(F.col("part") >= FIRST_WORD_PART).mapInArrow(totals, "tokens long, words long")
@@ -373,7 +413,8 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = [(p, keys[b:e]) for p, b, e in cut(gram_parts(keys))] + [(p, words[b:e]) for p, b, e in cut(word_parts(words))]
         return pa.RecordBatch.from_arrays([
             pa.array([p for p, _ in runs], pa.int32()), pa.array([block] * len(runs), pa.int32()),
-            pa.array([k.tobytes() for _, k in runs], pa.binary())], ["part", "block", "keys"])
+            pa.array([(k.astype(NARROW) if p < FIRST_WORD_PART else k).tobytes() for p, k in runs], pa.binary())],
+            ["part", "block", "keys"])
 
     for batch in batches:
         for b, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -389,25 +430,32 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _answer(top):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Task code: each part's counts, then what blocks ask of it, to values in the order asked."""
-        part, own, counts, subtree = None, None, None, None
+        part, own, known, subtree = None, None, None, None
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             parts, blocks, values = [], [], []
             for p, block, keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                keys = unpack(keys, np.uint64)
+                keys = unpack_keys(keys, p)
                 if p != part:
-                    part, own, counts, subtree = p, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+                    part, own, known = p, *nothing
+                    subtree = Subtree(*nothing) if p < FIRST_WORD_PART else None
                 if block < 0:
-                    own, counts = keys, unpack(n, np.int64)
+                    own, known = keys, unpack_counts(n, len(keys))
+                    if subtree:
+                        subtree = Subtree(own, known)
+                        known = log10s(own, subtree, top.value, own=True)
                     continue
-                if p >= FIRST_WORD_PART:
-                    at = np.minimum(np.searchsorted(own, keys), max(0, len(own) - 1))
-                    found = np.where(own[at] == keys, counts[at], 0).astype(float) if len(own) else np.zeros(len(keys))
-                else:
-                    subtree = subtree or Subtree(own, counts)
-                    found = log10s(keys, subtree, top.value)
+                found, at, seen = np.zeros(len(keys)), np.zeros(0, np.int64), np.zeros(len(keys), bool)
+                if len(own):
+                    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                    seen = own[at] == keys
+                    found[seen] = known[at[seen]]
+                if subtree and not seen.all():
+                    found[~seen] = log10s(keys[~seen], subtree, top.value)
                 parts.append(p)
                 blocks.append(block)
-                values.append(found.tobytes())
+                # Counts stay exact in eight bytes; logarithms need four.
+                values.append((found.astype(np.float32) if subtree else found).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.int32()),
                                               pa.array(values, pa.binary())], ["part", "block", "values"])
     return work
@@ -419,8 +467,11 @@ def _score(tokens: int, distinct: int):
         texts = [words_of(t.as_py()) for t in docs.column("text")]
         keys, sizes = grams(texts)
         own = {p: v for p, v in zip(answers.column("part").to_pylist(), answers.column("values"))}
-        values = np.concatenate([unpack(own[p], float) for p in sorted(own) if p < FIRST_WORD_PART])
-        logs = values[np.searchsorted(tally(keys)[0], keys)]
+        values = np.concatenate([unpack(own[p], np.float32) for p in sorted(own) if p < FIRST_WORD_PART])
+        order = np.argsort(keys)
+        keys = keys[order]
+        logs = np.empty(len(keys))
+        logs[order] = values[np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))]
         score = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
         words = {w for t in texts for w in t} | {END_WORD}
         hashes = word_keys(words)
