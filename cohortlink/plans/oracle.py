@@ -313,6 +313,9 @@ ORACLE: dict[str, str] = {
         || ',"Date":' || {_quoted('CAST("Date" AS VARCHAR)')} || '}}', ',' ORDER BY {_IN_ORDER}) || ']}}' AS document FROM records GROUP BY "PatientID\"""",
     "q_split_keys": _with(PATIENTS) + f"""SELECT split_key, count(*) AS row_count, count(DISTINCT "PatientID") AS people
         FROM (SELECT *, {_KEY} AS split_key FROM patients) GROUP BY split_key""",
+    "q_split_keys_unnamed": _with(PATIENTS) + """SELECT split_key, count(*) AS row_count, count(DISTINCT "PatientID") AS people FROM (
+        SELECT "PatientID", CASE WHEN "PatientID" % 5 = 0 THEN 'output_' || "PatientID" ELSE regexp_replace("Name", '[^A-Za-z0-9_-]', '', 'g') END AS split_key
+        FROM patients) GROUP BY split_key""",
     "q_run_status": _with(PATIENTS, IDS) + """, n AS (SELECT count(*) AS total, count(id) AS processed, count(DISTINCT CASE WHEN id IS NULL THEN raw_id END) AS failed FROM ids),
         f AS (SELECT count(*) AS row_count_fetched FROM ids JOIN patients p ON p."PatientID" = id)
         SELECT 'get_patient_by_id' AS query_name, '0.1.0' AS tool_version, CAST(0 AS BIGINT) AS execution_duration_ms, row_count_fetched, total, processed, failed,

@@ -370,6 +370,13 @@ def q_split_keys(spark, folder):
     return split_counts(views.patients(spark, folder), "{Vorname}_{Name}/{Geburtsdatum}")
 
 
+@query
+def q_split_keys_unnamed(spark, folder):
+    """Names of letters that no key may hold."""
+    people = views.patients(spark, folder).withColumn("Name", F.when(F.col("PatientID") % 5 == 0, "üß").otherwise(F.col("Name")))
+    return split_counts(people, "{Name}")
+
+
 @query
 def q_run_status(spark, folder):
     ids = views.id_list(spark, folder)

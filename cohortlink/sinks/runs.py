@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.redact import mask_preview, mask_user, redact_dates, redact_secrets
@@ -31,15 +31,19 @@ def run_parameters(values: dict, in_clear: bool = False) -> Column:
     return F.create_map(*cells) if cells else F.create_map().cast("map<string,string>")
 
 
-def run_summary(results: DataFrame, name: str, counters: DataFrame | None = None, parameters: dict | None = None,
+def run_summary(results: DataFrame | int, name: str, counters: DataFrame | None = None, parameters: dict | None = None,
                 display_name: str | None = None, started: datetime | None = None, duration_ms: int | None = None,
                 in_clear: bool = False) -> DataFrame:
     """One row on a run: when, what, how long, how many rows, and its status.
 
+    ``results`` is the number of rows where it is known, as from ``write_results``, else the rows are counted.
     ``counters`` holds one row ``total, processed, failed``; failures in detail stay a table of their own.
     """
     started = started or datetime.now(timezone.utc)
-    df = results.agg(F.count("*").alias("row_count_fetched"))
+    if isinstance(results, int):
+        df = SparkSession.active().range(1).select(F.lit(results).cast("bigint").alias("row_count_fetched"))
+    else:
+        df = results.agg(F.count("*").alias("row_count_fetched"))
     status = run_status(F.col("row_count_fetched"))
     if counters is not None:
         # Both sides hold exactly one row.

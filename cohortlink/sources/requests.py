@@ -56,8 +56,11 @@ def id_requests(df: DataFrame, id_column: str = "PatientID", row_column: str = "
 
 
 def read_id_requests(spark: SparkSession, path: str, id_column: str = "PatientID",
-                     row_column: str | None = None, multi_line: bool = False) -> DataFrame:
-    """Id requests of a CSV file; no rows when the file or its id column is missing."""
+                     row_column: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Id requests of a CSV file; no rows when the file or its id column is missing.
+
+    Fields may hold line ends; for files without any, ``multi_line=False`` reads one file in several tasks.
+    """
     df = _read_csv(spark, path, [id_column], multi_line)
     if df is None:
         return spark.createDataFrame([], "row_number bigint, raw_id string, id bigint")
@@ -82,8 +85,11 @@ def demographic_requests(df: DataFrame, first_name: str = "FirstName", last_name
 
 def read_demographic_requests(spark: SparkSession, path: str, first_name: str = "FirstName",
                               last_name: str = "LastName", dob: str = "DOB", row_column: str | None = None,
-                              multi_line: bool = False) -> DataFrame:
-    """Demographic requests of a CSV file; no rows when the file or one of the columns is missing."""
+                              multi_line: bool = True) -> DataFrame:
+    """Demographic requests of a CSV file; no rows when the file or one of the columns is missing.
+
+    For ``multi_line`` see :func:`read_id_requests`.
+    """
     df = _read_csv(spark, path, [first_name, last_name, dob], multi_line)
     if df is None:
         return spark.createDataFrame([], "row_number bigint, first_name string, last_name string, "

@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cohortlink.plans.oracle import ORACLE
+from cohortlink.plans.register import QUERIES
 
 from .check import compare, connect
 
@@ -15,16 +17,16 @@ def con():
 
 
 def test_all_queries_have_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
     assert entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, FOLDER, name, queries()[name], oracle_sql()[name]) is None
+    assert compare(spark, con, FOLDER, name, QUERIES[name], ORACLE[name]) is None
 
 
 @pytest.mark.parametrize("name", ["q_batch_ids", "q_fuzzy_batch", "q_group_report", "q_link_left"])
@@ -33,6 +35,6 @@ def test_results_do_not_depend_on_partitions(spark, con, name):
     try:
         for n in ("1", "16"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            assert compare(spark, con, FOLDER, name, queries()[name], oracle_sql()[name]) is None
+            assert compare(spark, con, FOLDER, name, QUERIES[name], ORACLE[name]) is None
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

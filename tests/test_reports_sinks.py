@@ -157,8 +157,24 @@ def test_split_output(spark, tmp_path, records):
     assert spark.read.csv(str(tmp_path / "s.csv" / "split_key=1001"), header=True).count() == 3
     empty = records.withColumn("Name", F.lit("ü"))
     assert {r.split_key for r in split_counts(empty, "{Name}", "n").collect()} == {f"output_{i}" for i in range(1, 5)}
-    with pytest.raises(ValueError):
-        split_counts(records, "{Nope}")
+    assert {r.split_key for r in split_counts(empty, "{Name}").collect()} == {"output_1001", "output_1002"}
+    for template, df in (("{Nope}", records), ("{Name}", records.drop("PatientID"))):
+        with pytest.raises(ValueError):
+            split_counts(df, template)
+
+
+def test_counts_buckets_and_split_reports(spark, tmp_path, records):
+    assert write_results(records, str(tmp_path / "a.json"), split_by="{PatientID}") == 4
+    counts = {r.split_key: r.row_count_fetched for r in spark.read.json(str(tmp_path / "a.json.counts")).collect()}
+    assert counts == {"1001": 3, "1002": 1}
+    write_results(records, str(tmp_path / "b.csv"), split_by="{PatientID}", buckets=3)
+    back = spark.read.csv(str(tmp_path / "b.csv"), header=True)
+    assert sorted(r.split_key for r in back.collect()) == ["1001"] * 3 + ["1002"] and "bucket" in back.columns
+    reports = text_report(records, ["n"], leave=["n"])
+    write_reports(reports, str(tmp_path / "r"), split_by="{PatientID}")
+    folders = {p.name: "".join(f.read_text() for f in p.glob("part-*")) for p in (tmp_path / "r").glob("split_key=*")}
+    assert set(folders) == {"split_key=1001", "split_key=1002"} and "M79.1" in folders["split_key=1002"]
+    assert run_summary(write_results(records, str(tmp_path / "c.json")), "q").first().row_count_fetched == 4
 
 
 @pytest.mark.parametrize("rows,total,done,status", [
