@@ -56,7 +56,7 @@ def _plain_lcs(a, b):
 
 def test_similarity_agrees_in_both_engines_and_is_symmetric(spark):
     rng = random.Random(4)
-    pairs = [tuple("".join(rng.choices("abcü' ", k=rng.randint(0, 14))).strip() for _ in range(2)) for _ in range(400)]
+    pairs = [tuple("".join(rng.choices("abcü' \u00a0\u2003", k=rng.randint(0, 14))).strip() for _ in range(2)) for _ in range(400)]
     df = spark.createDataFrame(pairs, "a string, b string")
     for r in df.select("a", "b", similarity(F.col("a"), F.col("b")).alias("s"), similarity(F.col("b"), F.col("a")).alias("t"),
                        common_letters(F.col("a"), F.col("b")).alias("n")).collect():

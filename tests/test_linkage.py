@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortlink import (LinkConfig, best_matches, compact_matches, flat_matches, fuzzy_link, fuzzy_search, weighted_ratio)
 from cohortlink.model import PATIENT_SCHEMA
 from cohortlink.operators.linkage import deciding_sets
-from cohortlink.operators.names import alike
+from cohortlink.operators.names import _keyed, alike
 
 
 def _names(seed, n):
@@ -38,6 +38,28 @@ def test_alike_names_are_all_found(spark, threshold):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_long_names_are_found_and_have_few_keys(spark):
+    rng = random.Random(9)
+    def letters(n):
+        return "".join(rng.choices("abcdefgh", k=n))
+    left = [letters(n) for n in (24, 30, 31, 32, 33, 34, 40, 60, 90, 120)] * 4 + ["ab\u00a0" + letters(30), letters(20) + "\u2003" + letters(12)]
+    right = []
+    for name in left:
+        word = list(name)
+        for _ in range(rng.randrange(len(word) // 5)):
+            at = rng.randrange(len(word))
+            word[at:at + rng.randrange(2)] = letters(rng.randrange(2))
+        right.append("".join(word))
+        right.append(name[rng.randrange(5):len(name) // 2])
+    left, right = sorted(set(left)), sorted(set(right) - {""})
+    want = {(a, b) for a in left for b in right if a == b or weighted_ratio(a, b) >= .85}
+    frames = [spark.createDataFrame([("f", x) for x in xs], "field string, name string") for xs in (left, right)]
+    rows = [(r.given, r.stored) for r in alike(*frames, .85).collect()]
+    assert set(rows) == want and len(rows) == len(want) and len(want) > 30
+    name = spark.createDataFrame([("f", "".join(rng.choices("abcdefghijklmnop ", k=200)).strip())], "field string, name string")
+    assert all(_keyed(name, .85, given).count() < 6000 for given in (True, False))
+
+
 def test_alike_keeps_fields_apart_and_refuses_low_thresholds(spark):
     a = spark.createDataFrame([("x", "anna")], "field string, name string")
     b = spark.createDataFrame([("y", "anna")], "field string, name string")
