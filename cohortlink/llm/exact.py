@@ -45,7 +45,7 @@ def _decided(docs: DataFrame, prefix: int) -> DataFrame:
     decisions = (hashed.join(groups, "sha")
                  .groupBy(F.col("doc_id").alias("_exact_id"), "_exact_length", "_exact_start")
                  .agg(F.min("keep_id").alias("_exact_keep"), F.max("keep_id").alias("_exact_last"),
-                      F.max("group_size").alias("_exact_size"), F.count_distinct("sha").alias("_exact_texts"),
+                      F.max("group_size").alias("_exact_size"), F.when(F.min("sha") == F.max("sha"), 1).otherwise(2).alias("_exact_texts"),
                       F.count(F.lit(1)).alias("_exact_rows")))
     one = F.coalesce(F.col("_exact_texts"), F.lit(1)) == 1
     known = decisions.withColumnsRenamed({"_exact_length": "_exact_l", "_exact_start": "_exact_s"})
