@@ -38,7 +38,7 @@ from .common import stored
 # Sent to tasks by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DEPTH = 5  # bytes of context
+DEPTH = 6  # bytes of context
 SPLIT = 2  # nearest bytes that name a subtree
 END = 10
 WORD_PARTS = 10  # bits of a word's hash that name a part
@@ -47,9 +47,8 @@ END_WORD = b""
 COUNTED = 1 << 21  # numbers a task gathers before it adds them up
 BLOCK = 8 << 20  # bytes of text scored together
 SMOOTHING = 0.1
-# Below its part a gram has so many bits.
-SUFFIX = 8 * (DEPTH + 1 - SPLIT)
-NARROW = np.uint32 if SUFFIX <= 32 else np.uint64
+# Below its part a gram has so many bytes.
+SUFFIX = DEPTH + 1 - SPLIT
 
 PACKED = "part int, keys binary, counts binary"
 
@@ -129,28 +128,56 @@ def cut(parts: np.ndarray) -> list[tuple[int, int, int]]:
 def packed(sums: tuple[np.ndarray, np.ndarray], parts: np.ndarray) -> pa.RecordBatch:
     """A row for each part; numbers take as few bytes as they need."""
     keys, counts = sums
-    keys = keys.astype(NARROW) if len(parts) and parts[0] < FIRST_WORD_PART else keys
-    counts = counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts
     runs = cut(parts)
     return pa.RecordBatch.from_arrays(
-        [pa.array([p for p, _, _ in runs], pa.int32())]
-        + [pa.array([column[b:e].tobytes() for _, b, e in runs], pa.binary()) for column in (keys, counts)], ["part", "keys", "counts"])
+        [pa.array([p for p, _, _ in runs], pa.int32()), pa.array([pack_keys(keys[b:e], p) for p, b, e in runs], pa.binary()),
+         pa.array([pack_counts(counts[b:e]) for _, b, e in runs], pa.binary())], ["part", "keys", "counts"])
 
 
 def unpack(cell, kind) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), kind)
 
 
+def planes(numbers: np.ndarray, width: int) -> bytes:
+    """Whole numbers by their lowest bytes, one place after the other, which compresses well where they are small."""
+    return np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(cell, width: int) -> np.ndarray:
+    held = unpack(cell, np.uint8).reshape(width, -1)
+    numbers = np.zeros((held.shape[1], 8), np.uint8)
+    numbers[:, :width] = held.T
+    return numbers.view("<u8").ravel()
+
+
+def pack_keys(keys: np.ndarray, part: int) -> bytes:
+    """Distinct keys of a part in order; of grams their steps below the part."""
+    if part >= FIRST_WORD_PART:
+        return keys.tobytes()
+    return planes(np.diff(keys, prepend=np.uint64(part) << np.uint64(8 * SUFFIX)), SUFFIX)
+
+
 def unpack_keys(cell, part: int) -> np.ndarray:
     if part >= FIRST_WORD_PART:
         return unpack(cell, np.uint64)
-    suffix = unpack(cell, NARROW).astype(np.uint64) & np.uint64((1 << SUFFIX) - 1)
-    return suffix | np.uint64(part) << np.uint64(SUFFIX)
+    return np.cumsum(from_planes(cell, SUFFIX), dtype=np.uint64) + (np.uint64(part) << np.uint64(8 * SUFFIX))
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    most = int(counts.max()) if len(counts) else 0
+    return planes(counts, max(1, -(-most.bit_length() // 8)))
 
 
 def unpack_counts(cell, n: int) -> np.ndarray:
-    buffer = cell.as_buffer()
-    return np.frombuffer(buffer, np.uint32 if buffer.size == 4 * n else np.int64).astype(np.int64)
+    return from_planes(cell, cell.as_buffer().size // n if n else 1).astype(np.int64)
+
+
+def pack_values(values: np.ndarray) -> bytes:
+    return planes(values.view(np.uint64), 8)
+
+
+def unpack_values(cell) -> np.ndarray:
+    return from_planes(cell, 8).view(float)
 
 
 # Counting -----------------------------------------------------------------------------------------------
@@ -413,7 +440,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = [(p, keys[b:e]) for p, b, e in cut(gram_parts(keys))] + [(p, words[b:e]) for p, b, e in cut(word_parts(words))]
         return pa.RecordBatch.from_arrays([
             pa.array([p for p, _ in runs], pa.int32()), pa.array([block] * len(runs), pa.int32()),
-            pa.array([(k.astype(NARROW) if p < FIRST_WORD_PART else k).tobytes() for p, k in runs], pa.binary())],
+            pa.array([pack_keys(k, p) for p, k in runs], pa.binary())],
             ["part", "block", "keys"])
 
     for batch in batches:
@@ -454,8 +481,7 @@ def _answer(top):
                     found[~seen] = log10s(keys[~seen], subtree, top.value)
                 parts.append(p)
                 blocks.append(block)
-                # Counts stay exact in eight bytes; logarithms need four.
-                values.append((found.astype(np.float32) if subtree else found).tobytes())
+                values.append(pack_values(found))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.int32()),
                                               pa.array(values, pa.binary())], ["part", "block", "values"])
     return work
@@ -467,7 +493,7 @@ def _score(tokens: int, distinct: int):
         texts = [words_of(t.as_py()) for t in docs.column("text")]
         keys, sizes = grams(texts)
         own = {p: v for p, v in zip(answers.column("part").to_pylist(), answers.column("values"))}
-        values = np.concatenate([unpack(own[p], np.float32) for p in sorted(own) if p < FIRST_WORD_PART])
+        values = np.concatenate([unpack_values(own[p]) for p in sorted(own) if p < FIRST_WORD_PART])
         order = np.argsort(keys)
         keys = keys[order]
         logs = np.empty(len(keys))
@@ -475,7 +501,7 @@ def _score(tokens: int, distinct: int):
         score = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
         words = {w for t in texts for w in t} | {END_WORD}
         hashes = word_keys(words)
-        asked = np.concatenate([unpack(own[p], float) for p in sorted(own) if p >= FIRST_WORD_PART])
+        asked = np.concatenate([unpack_values(own[p]) for p in sorted(own) if p >= FIRST_WORD_PART])
         count_of = dict(zip(words, asked[np.searchsorted(np.unique(hashes), hashes)].tolist()))
         whole = math.log10(tokens + SMOOTHING * (distinct + 1))
         base, known = [], []

@@ -96,6 +96,28 @@ def test_against_a_plain_tree(spark, make_docs):
         assert got[i].n_bytes == len(stream(t))
 
 
+def test_six_bytes_of_context_in_full_numbers(spark, make_docs):
+    train = ["xabcdefg yabcdefh"] * 40
+    plain = Plain(train)
+    texts = ["xabcdefg", "yabcdefh", "xabcdefh", "other words"]
+    got = {r.doc_id: r for r in ctw.score(make_docs(list(enumerate(texts))), ctw.learn(make_docs(list(enumerate(train))).select("text"))).collect()}
+    assert all(got[i].score == pytest.approx(plain.score(t), rel=1e-9) for i, t in enumerate(texts))
+    assert len(plain.decisions("a").__next__()[0]) == 6
+
+
+@pytest.mark.parametrize("part", [0, 0x2061, ctw.FIRST_WORD_PART - 1])
+def test_packed_numbers_come_back(part):
+    low = np.array([0, 1, 255, 256, (1 << 8 * ctw.SUFFIX) - 1], np.uint64)
+    keys = low + (np.uint64(part) << np.uint64(8 * ctw.SUFFIX))
+    counts = np.array([1, 300, 1 << 33, 7, 255], np.int64)
+    values = -np.array([0.0, 1e-300, 1 / 3, 12.5, 7e9])
+    cell = ctw.pa.scalar
+    assert (ctw.unpack_keys(cell(ctw.pack_keys(keys, part)), part) == keys).all()
+    assert (ctw.unpack_counts(cell(ctw.pack_counts(counts)), 5) == counts).all()
+    assert (ctw.unpack_values(cell(ctw.pack_values(values))) == values).all()
+    assert not len(ctw.unpack_keys(cell(ctw.pack_keys(keys[:0], part)), part)) and not len(ctw.unpack_counts(cell(ctw.pack_counts(counts[:0])), 0))
+
+
 def test_probabilities_of_all_bytes_add_up_to_one(monkeypatch):
     keys, counts = ctw.tally(ctw.grams([ctw.words_of((t or "").encode()) for t in TRAIN])[0])
     parts = [ctw.Subtree(keys[b:e], counts[b:e]) for _, b, e in ctw.cut(ctw.gram_parts(keys))]
