@@ -1,12 +1,15 @@
 """License scans by patience alignment of texts with templates.
 
-A text and a template are words in lower case. Where words that the template has once, other than the most
-common ones, follow each other closely without repeating, there may be a copy; so every copy of a text that holds
-several is met by itself. Each such region is aligned with the template: words unique to both are anchors, the longest
-increasing run of anchors is kept, and the gaps between them, where more words are unique, are aligned in the same way;
-what begins or ends a gap alike is matched as well. Coverage is the share of the template's words matched.
-
-A text whose words cannot reach the coverage asked for is not aligned; that test is exact. Null, empty and wordless
+A text and a template are words in lower case. A copy is a stretch of a text that has a share of a template's words in
+their order, neighbouring ones at most the template's length apart. Words of the template that follow each other so
+closely are searched, by the longest common subsequence, for the copy that ends first, then for the next behind its end;
+so copies apart from each other are all met. Each is then carried on while more words match and aligned with the
+template: words unique to both are anchors, the longest increasing run of anchors is kept, and the gaps between them,
+where more words are unique, are aligned in the same way; what begins or ends a gap alike is matched as well. Where
+that matches fewer words than a longest common subsequence, the latter is taken. Coverage is the share of the
+template's words matched.
+
+A text whose words cannot reach the coverage asked for is not aligned; that test and the search are exact. Null, empty and wordless
 texts have no matches. Rows are scanned whole and each by itself. Other columns pass through; a column
 named like the result is replaced.
 """
@@ -110,31 +113,97 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Template:
     def __init__(self, name: str, text: str, least: float):
         self.name, self.words = name, WORD.findall(text.lower())
-        counts = Counter(self.words)
-        self.marks = {w for w, n in counts.items() if n == 1 and w not in COMMON}
+        self.counts = Counter(self.words)
+        self.marks = {w for w, n in self.counts.items() if n == 1 and w not in COMMON}
         self.least = max(1, math.ceil(least * len(self.words)))
         # Of the words that must match, at most so many are none of the marks.
         self.marks_needed = max(1, self.least - (len(self.words) - len(self.marks)))
+        self.forward, self.backward = bits(self.words), bits(self.words[::-1])
+
+    def stretches(self, words: list[str]) -> list[tuple[int, int]]:
+        """Where words of the template follow each other within its length, and enough of them to reach the coverage."""
+        at = [i for i, w in enumerate(words) if w in self.counts]
+        begins = [k for k in range(len(at)) if not k or at[k] - at[k - 1] > len(self.words)]
+        found = []
+        for b, e in zip(begins, [*begins[1:], len(at)]):
+            if e - b >= self.least:
+                held = Counter(words[i] for i in at[b:e])
+                if sum(min(n, self.counts[w]) for w, n in held.items()) >= self.least:
+                    found.append((at[b], at[e - 1] + 1))
+        return found
 
     def regions(self, words: list[str]) -> list[tuple[int, int]]:
-        """Stretches of a text that may hold one copy each."""
-        runs: list[list[int]] = []
-        seen: set[str] = set()
-        for i, w in enumerate(words):
-            if w in self.marks:
-                if not runs or w in seen or i - runs[-1][-1] > len(self.words):
-                    runs.append([])
-                    seen = set()
-                runs[-1].append(i)
-                seen.add(w)
+        """Stretches of a text that hold one copy each."""
+        return [region for low, high in self.stretches(words) for region in self.copies(words, low, high)]
+
+    def copies(self, words: list[str], low: int, high: int) -> list[tuple[int, int]]:
+        cores, at = [], low
+        while True:
+            # The copy that ends first, as short as it can be; so no other copy apart from it is lost.
+            end = next((i + 1 for i, n in common(words, range(at, high), self.forward) if n >= self.least), None)
+            if end is None:
+                break
+            cores.append((next(i for i, n in common(words, range(end - 1, at - 1, -1), self.backward) if n >= self.least), end))
+            at = end
         found = []
-        for k, run in enumerate(runs):
-            if len(run) >= self.marks_needed:
-                low = runs[k - 1][-1] + 1 if k else 0
-                high = runs[k + 1][0] if k + 1 < len(runs) else len(words)
-                found.append((max(low, run[0] - len(self.words)), min(high, run[-1] + 1 + len(self.words))))
+        for k, (begin, end) in enumerate(cores):
+            end = self.reach(words, range(begin, cores[k + 1][0] if k + 1 < len(cores) else high), self.forward, end - 1) + 1
+            begin = self.reach(words, range(end - 1, (found[-1][1] if found else low) - 1, -1), self.backward, begin)
+            found.append((begin, end))
         return found
 
+    def reach(self, words: list[str], places: range, masks: dict[str, int], core: int) -> int:
+        """The last place, at the core's end or behind, at which more words match; none further off than the template's length."""
+        last, most, past = core, 0, False
+        for i, n in common(words, places, masks):
+            if n > most:
+                most = n
+                last = i if past or i == core else last
+            past |= i == core
+            if n == len(self.words) or past and abs(i - last) > len(self.words):
+                break
+        return last
+
+
+def bits(words: list[str]) -> dict[str, int]:
+    masks: dict[str, int] = {"": (1 << len(words)) - 1}
+    for i, w in enumerate(words):
+        masks[w] = masks.get(w, 0) | 1 << i
+    return masks
+
+
+def common(words: list[str], places: range, masks: dict[str, int]):
+    """Each place of a word of the template, with the length of the longest common subsequence up to there, by bits."""
+    row = whole = masks[""]
+    n = 0
+    for i in places:
+        match = masks.get(words[i])
+        if match:
+            step = row & match
+            after = (row + step | row - step) & whole
+            if after != row:
+                row, n = after, (whole ^ after).bit_count()
+        yield i, n
+
+
+def longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence."""
+    masks = bits(b)
+    rows = [masks[""]]
+    for w in a:
+        step = rows[-1] & masks.get(w, 0)
+        rows.append((rows[-1] + step | rows[-1] - step) & masks[""])
+    pairs, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+            if rows[i] >> j - 1 & 1:
+                j -= 1
+                pairs.append((i, j))
+    return pairs[::-1]
+
 
 def scan(text: str | None, templates: list[Template]) -> list[dict]:
     """Copies of templates in a text, in order of place, with the letters they begin and end at."""
@@ -149,10 +218,11 @@ def scan(text: str | None, templates: list[Template]) -> list[dict]:
     found = []
     for template in near:
         for low, high in template.regions(words):
-            pairs = align(words[low:high], template.words)
-            if len(pairs) >= template.least:
-                found.append({"license": template.name, "coverage": len(pairs) / len(template.words),
-                              "begin": places[low + pairs[0][0]][0], "end": places[low + pairs[-1][0]][1]})
+            # Patience keeps whole lines together; where it keeps fewer words than there are, the longest run counts.
+            pairs, most = align(words[low:high], template.words), longest(words[low:high], template.words)
+            pairs = pairs if len(pairs) == len(most) else most
+            found.append({"license": template.name, "coverage": len(pairs) / len(template.words),
+                          "begin": places[low + pairs[0][0]][0], "end": places[low + pairs[-1][0]][1]})
     return sorted(found, key=lambda m: (m["begin"], m["license"], m["end"]))
 
 

@@ -53,6 +53,53 @@ def test_changed_copy():
     assert li.scan(" ".join(words[:60]), ALL) == []
 
 
+@pytest.mark.parametrize("text", [
+    "Licensed under the Apache License (the License), Version 2.0",
+    "Licensed, that is licensed, under the Apache License: the Apache one, Version 2.0",
+])
+def test_repeated_marks_lose_no_copy(text):
+    assert [m["coverage"] for m in li.scan(text, ALL) if m["license"] == "Apache-2.0 notice"] == [1]
+
+
+@pytest.mark.parametrize("name", ["MIT", "ISC"])
+def test_inserted_marks_in_a_long_copy(name):
+    template = next(t for t in ALL if t.name == name)
+    rng = random.Random(7)
+    words = list(template.words)
+    for _ in range(15):
+        words.insert(rng.randrange(len(words)), rng.choice(sorted(template.marks)))
+    got = [m for m in li.scan(" ".join(words), ALL) if m["license"] == name]
+    assert [m["coverage"] for m in got] == [1]
+
+
+def table_length(a, b):
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        rows.append([0])
+        for j, y in enumerate(b):
+            rows[-1].append(rows[-2][j] + 1 if x == y else max(rows[-2][j + 1], rows[-1][j]))
+    return rows[-1][-1]
+
+
+@given(st.lists(st.sampled_from("abcdefgx"), max_size=30), st.sampled_from(["abcdef", "abcabd", "aab"]))
+@settings(max_examples=300)
+def test_against_every_window(words, text):
+    template = li.Template("t", " ".join(text), 0.8)
+    windows = [(b, e) for b in range(len(words)) for e in range(b + 1, min(len(words), b + len(text)) + 1)
+               if table_length(words[b:e], template.words) >= template.least]
+    apart, end = 0, 0
+    for b, e in sorted(windows, key=lambda w: w[1]):
+        if b >= end:
+            apart, end = apart + 1, e
+    regions = template.regions(words)
+    assert len(regions) >= apart and all(p[1] <= q[0] for p, q in zip(regions, regions[1:]))
+    for b, e in regions:
+        pairs = li.longest(words[b:e], template.words)
+        assert len(pairs) == table_length(words[b:e], template.words) >= template.least
+        assert all(words[b + i] == template.words[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
 def test_rows(spark, make_docs):
     docs = make_docs([(1, None), (2, ""), (3, "İ " * 5 + "Released under the MIT License."), (3, "x " * 200_000), (4, "...")])
     got = sorted((r.doc_id, len(r.matches), None if r.text is None else len(r.text)) for r in li.find(docs.withColumn("matches", F.lit("mine"))).collect())
