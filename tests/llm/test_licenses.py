@@ -100,6 +100,27 @@ def test_against_every_window(words, text):
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0 notice"]),
+    ("Licensed under CC BY-NC-SA 3.0.", ["CC-BY-NC-SA-3.0 notice"]),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0 notice"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0 notice"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1 notice"]),
+    ("Released under the BSD License", ["BSD notice"]), ("Released under the Other License", []),
+    (li.TEMPLATES["BSD-2-Clause"], ["BSD-2-Clause"]), (li.TEMPLATES["BSD-3-Clause"], ["BSD-3-Clause"]),
+    (li.TEMPLATES["MIT-0"], ["MIT-0"]), (li.TEMPLATES["LGPL-3.0 header"], ["LGPL-3.0 header"]),
+    (li.TEMPLATES["AGPL-3.0 header"], ["AGPL-3.0 header"]),
+])
+def test_siblings(text, names):
+    assert [m["license"] for m in li.scan("Words before. " + text + " words behind", ALL)] == names
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "AGPL-3", "LGPL-2.1", "MPL-2.0"])
+def test_full_texts(name):
+    text = li.TEMPLATES[f"{name} text"]
+    assert [m["license"] for m in li.scan(text, ALL) if m["coverage"] > 0.8 and m["license"].endswith("text")] == [f"{name} text"]
+
+
 def test_rows(spark, make_docs):
     docs = make_docs([(1, None), (2, ""), (3, "İ " * 5 + "Released under the MIT License."), (3, "x " * 200_000), (4, "...")])
     got = sorted((r.doc_id, len(r.matches), None if r.text is None else len(r.text)) for r in li.find(docs.withColumn("matches", F.lit("mine"))).collect())
