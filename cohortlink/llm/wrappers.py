@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MOST_KINDS = 64
-MOST_DEPTH = 200  # deeper elements are taken as children of this depth
+MOST_DEPTH = 200  # of wrappers; texts of deeper elements are taken as children of this depth
 HELD_HOSTS = 2000  # wrappers a task holds before it passes them on
 
 # Elements by what they do.
@@ -102,9 +102,15 @@ def parse(page: str | None) -> Element:
     """Balanced elements of a page; end tags without a start are skipped, starts without an end end with their parent."""
     root = Element("", "", False)
     open_ = [root]
+    tags: dict[str, int] = {}  # open elements of each tag
     page = page or ""
     at = 0
 
+    def leave(i):
+        for one in open_[i:]:
+            tags[one.tag] -= 1
+        del open_[i:]
+
     def text(start, end):
         if start < end:
             open_[-1].children.append(page[start:end])
@@ -122,9 +128,9 @@ def parse(page: str | None) -> Element:
                 text(found.start() + 9, found.end() - 3 * page.endswith("]]>", 0, found.end()))
             continue
         if found[1] or found[4]:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if tags.get(tag) else ():
                 if open_[i].tag == tag:
-                    del open_[i:]
+                    leave(i)
                     break
             continue
         attributes = found[3] or found[6] or ""
@@ -132,11 +138,11 @@ def parse(page: str | None) -> Element:
             # A paragraph does not go on behind the start of a block, nor do the inline elements in it.
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag == "p":
-                    del open_[i:]
+                    leave(i)
                     break
                 if open_[i].tag not in INLINE:
                     if open_[i].tag in ENDS.get(tag, ()):
-                        del open_[i:]
+                        leave(i)
                     break
         key, dropped = _kind(tag, attributes)
         element = Element(tag, key, dropped)
@@ -146,24 +152,37 @@ def parse(page: str | None) -> Element:
             end = close.start() if close else len(page)
             element.children.append(page[at:end])
             at = close.end() if close else len(page)
-        elif tag not in VOID and not attributes.endswith("/") and len(open_) < MOST_DEPTH:
+        elif tag not in VOID and not attributes.endswith("/"):
             open_.append(element)
+            tags[tag] = tags.get(tag, 0) + 1
 
 
 # Expressions --------------------------------------------------------------------------------------------
 # An item is [key, optional, repeated, letters of running text, children]; the key "#" is a text slot, whose
 # children are the one constant text, or none where texts differ.
 
-def expression(element: Element) -> list:
+def below(element: Element) -> list:
+    """What is in an element and all below, without what is dropped or no text: texts in page order."""
+    texts, stack = [], element.children[::-1]
+    while stack:
+        child = stack.pop()
+        if isinstance(child, str):
+            texts.append(child)
+        elif not child.dropped and child.tag not in RAW and child.tag != "a":
+            stack += child.children[::-1]
+    return texts
+
+
+def expression(element: Element, depth: int = 1) -> list:
     """The expression of one page."""
     children = []
-    for child in element.children:
+    for child in element.children if depth < MOST_DEPTH else below(element):
         if isinstance(child, str):
             words = SPACE.sub(" ", child).strip()
             if words and element.tag not in RAW:
                 children.append(["#", 0, 0, len(words), [xxhash.xxh32_intdigest(words)]])
         elif child.tag not in RAW and child.tag not in VOID:
-            children.append(expression(child))
+            children.append(expression(child, depth + 1))
     children = folded(children)
     return [element.key, 0, 0, 0 if element.dropped or element.tag == "a" else sum(c[3] for c in children), children]
 
@@ -263,29 +282,33 @@ def main_text(page: str | None, main: str) -> str:
             blocks.append(words)
         line.clear()
 
-    def read(element, inside, in_article, path):
-        for child in element.children:
-            if isinstance(child, str):
-                if inside and element.tag not in RAW:
-                    line.append(child)
-            elif child.tag == "header" and in_article and not child.dropped:
-                read(child, inside, in_article, path)
-            elif not child.dropped and child.tag != "header":
-                if child.tag in VOID:
-                    if child.tag in ("br", "wbr"):
-                        line.append(" " if child.tag == "br" else "")
-                    elif child.tag == "hr":
-                        close()
-                    continue
-                block = child.tag not in INLINE
-                if block:
-                    close()
-                below = path if child.tag in PASSED else f"{path}/{child.key}"
-                read(child, inside or main in (child.tag, below), in_article or child.tag == "article", below)
-                if block:
+    # Elements being read: what is left of them, whether they are inside the main part and an article, and their path.
+    reading = [(iter(root.children), root, not main, False, "")]
+    while reading:
+        left, element, inside, in_article, path = reading[-1]
+        child = next(left, None)
+        if child is None:
+            reading.pop()
+            if element.tag not in INLINE and element is not root and element.tag != "header":
+                close()
+        elif isinstance(child, str):
+            if inside and element.tag not in RAW:
+                line.append(child)
+        elif child.tag == "header" and in_article and not child.dropped:
+            reading.append((iter(child.children), child, inside, in_article, path))
+        elif not child.dropped and child.tag != "header":
+            if child.tag in VOID:
+                if child.tag in ("br", "wbr"):
+                    line.append(" " if child.tag == "br" else "")
+                elif child.tag == "hr":
                     close()
-
-    read(root, not main, False, "")
+                continue
+            if child.tag not in INLINE:
+                close()
+            # The path of a main part is no deeper than a wrapper.
+            inner = path if child.tag in PASSED or len(reading) > MOST_DEPTH else f"{path}/{child.key}"
+            reading.append((iter(child.children), child, inside or main in (child.tag, inner),
+                            in_article or child.tag == "article", inner))
     close()
     if not blocks and main:
         return main_text(page, "")

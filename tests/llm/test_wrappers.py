@@ -44,6 +44,13 @@ def test_pages(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize("n", [150, 300, 5000])
+def test_deep_elements_end_where_they_end(n):
+    page = "<div><article><p>first</p>" + "<div>" * n + "<nav>menu</nav><p>deep</p><p>er</p>" + "</div>" * n + "<p>last</p></article></div>"
+    assert text_of(page) == "first\ndeep\ner\nlast"
+    assert text_of(page.replace("article", "main")) == "first\ndeep\ner\nlast"
+
+
 def test_expressions():
     pages = ["<ul><li>a</li><li>b</li></ul><p>same</p>", "<ul><li>c</li></ul><h2>new</h2><p>same</p>", "<p>same</p>"]
     items = [w.expression(w.parse(p)) for p in pages]
