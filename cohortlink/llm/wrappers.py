@@ -57,6 +57,8 @@ NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb b
             "copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pager pagination "
             "popup promo promoted related recommended respond reply replies share sharing sidebar signup social sponsor sponsored subscribe "
             "toolbar widget".split())
+# A class with one of these says how a page is laid out, not what its element is.
+STATES = set("disabled enabled free has is layout no not with without".split())
 MAIN_NAMES = set("article content entry main post story".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -71,36 +73,73 @@ class Element:
     """A tag with its children, which are elements and texts."""
     __slots__ = ("tag", "key", "dropped", "children")
 
-    def __init__(self, tag: str, key: str, dropped: bool):
+    def __init__(self, tag: str, key: str, dropped: int):
         self.tag, self.key, self.dropped, self.children = tag, key, dropped, []
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool]:
-    """What names an element in an expression, and whether it is no main text."""
+def _kind(tag: str, attributes: str) -> tuple[str, int]:
+    """What names an element in an expression, and whether it is no main text: 2, or 1 as long as it does not hold most of it."""
     names: set[str] = set()
     classes: set[str] = set()
-    dropped = tag in DROPPED
+    dropped = 1 if tag == "form" else 2 * (tag in DROPPED)
     if attributes.strip():
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name == "role":
-                dropped |= value.strip().lower() in ROLES
+                dropped = max(dropped, 2 * (value.strip().lower() in ROLES))
             elif name in ("class", "id"):
                 # Numbers of several digits are often of the page, not of its kind.
                 classes |= set(NUMBER.sub("", value).split())
-                words = {w.lower() for w in PARTS.split(value) if w}
-                names |= words & (NAMES | MAIN_NAMES)
+                for token in value.split():
+                    words = {w.lower() for w in PARTS.split(token) if w}
+                    if not words & STATES:
+                        names |= words & (NAMES | MAIN_NAMES)
             elif name == "hidden" or value.lower() == "true":
-                dropped = True
+                dropped = 2
     if tag not in ("html", "body", "main", "article"):
         # The header of a post holds its title.
-        dropped |= bool(names & NAMES - {"header"}) or "header" in names and not names & MAIN_NAMES
+        dropped = max(dropped, int(bool(names & NAMES - {"header"}) or "header" in names and not names & MAIN_NAMES))
     return ".".join([tag, *sorted(classes)]), dropped
 
 
 def parse(page: str | None) -> Element:
     """Balanced elements of a page; end tags without a start are skipped, starts without an end end with their parent."""
-    root = Element("", "", False)
+    root = _elements(page)
+    _keep_holders(root)
+    return root
+
+
+def _keep_holders(root: Element) -> None:
+    """An element dropped by its name, or a form, that holds the article or main element with most of the text is none of those.
+
+    A form without either is kept if most of the page's running text is in it.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        element, inside = stack.pop()
+        order.append((element, inside))
+        inside |= element.tag in ("article", "main")
+        stack += [(c, inside) for c in element.children if not isinstance(c, str)]
+    if not any(e.dropped == 1 for e, _ in order):
+        return
+    letters: dict[int, int] = {}
+    mains: dict[int, int] = {}
+    for element, _ in reversed(order):
+        own = main = 0
+        # What is dropped by its tag, role or as hidden, and links, are no running text.
+        if element.dropped != 2 and element.tag not in RAW and element.tag != "a":
+            for child in element.children:
+                own += len(child.strip()) if isinstance(child, str) else letters[id(child)]
+                main += 0 if isinstance(child, str) else mains[id(child)]
+        letters[id(element)], mains[id(element)] = own, own if element.tag in ("article", "main") else main
+    for element, inside in order:
+        if element.dropped == 1 and not inside:
+            held = letters[id(element)] if element.tag == "form" else mains[id(element)]
+            element.dropped = int(2 * held <= letters[id(root)])
+
+
+def _elements(page: str | None) -> Element:
+    root = Element("", "", 0)
     open_ = [root]
     tags: dict[str, int] = {}  # open elements of each tag
     page = page or ""

@@ -51,6 +51,18 @@ def test_deep_elements_end_where_they_end(n):
     assert text_of(page.replace("article", "main")) == "first\ndeep\ner\nlast"
 
 
+@pytest.mark.parametrize("holder", ["div class='layout has-sidebar'", "div class=no-sidebar", "div class=content-with-menu", "div class=share-enabled",
+                                    "div class='ad-free'", "form id=aspnetForm", "div class='sidebar'"])
+def test_names_around_the_main_part_drop_nothing(holder):
+    tag = holder.split()[0]
+    page = f"<body><div class='cookie-notice'>ok</div><{holder}><article>{BODY}</article><div class='site-footer'>foot</div></{tag}></body>"
+    assert text_of(page) == "First paragraph of <it>.\nSecond bolder one line"
+    small = f"<body><article>{BODY}<form>name</form></article><div class=sidebar><article>x</article></div></body>"
+    assert text_of(small) == "First paragraph of <it>.\nSecond bolder one line"
+    if tag == "form":
+        assert text_of(page.replace("article", "div")) == "First paragraph of <it>.\nSecond bolder one line"
+
+
 def test_expressions():
     pages = ["<ul><li>a</li><li>b</li></ul><p>same</p>", "<ul><li>c</li></ul><h2>new</h2><p>same</p>", "<p>same</p>"]
     items = [w.expression(w.parse(p)) for p in pages]
