@@ -98,3 +98,16 @@ def test_documents(spark, make_docs):
     unnamed = make_docs([(None, base), (None, base)])
     assert drop_near_copies(unnamed).count() == 1
     assert mark_near_copies(docs.limit(0)).count() == 0 and drop_near_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "comb", "reversed"])
+def test_component_rounds_are_logarithmic(spark, shape):
+    from cohortlink.llm.components import star_components
+    n = 256
+    pairs = {"chain": [(i, i + 1) for i in range(n)], "star": [(n, i) for i in range(n)],
+             "comb": [(i, i + 1) for i in range(0, n, 2)] + [(i, i + n) for i in range(0, n, 2)],
+             "reversed": [(n - i, n - i - 1) for i in range(n)]}[shape]
+    labels, rounds = star_components(spark.createDataFrame(pairs, "a long, b long"))
+    want = roots({x for p in pairs for x in p}, pairs)
+    assert {r.node: r.label for r in labels.collect()} == want
+    assert rounds <= np.log2(2 * n) + 2
