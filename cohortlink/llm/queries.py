@@ -13,6 +13,7 @@ from .bpe import decode, encode, n_tokens
 from .common import remainder, stored, table
 from .exact import mark_copies, text_sha256
 from .merkle import compare_with_next
+from .minhash import mark_near_copies as mark_near_sets
 from .mixture import mix
 from .simhash import hexadecimal, mark_near_copies
 
@@ -89,6 +90,11 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def minhash_near(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return mark_near_sets(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe_round_trip,
     "op2_simhash_near": simhash_near,
@@ -100,4 +106,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup,
     "op9_language": language,
     "op10_source_mix": source_mix,
+    "op11_minhash_near": minhash_near,
 }
