@@ -42,4 +42,23 @@ SELECT d.doc_id, d.size, s.source_size, s.target, CAST(coalesce(t.taken, 0) AS B
 FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN taken t ON t.doc_id = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op8_exact_dedup": EXACT, "op10_source_mix": MIX}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+stats AS (SELECT CAST(count(*) FILTER (WHERE len(terms) > 0) AS BIGINT) AS n_docs, CAST(coalesce(sum(len(terms)), 0) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+occ AS (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM occ WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT item_id, term, CAST(floor(1000.0 * ln((2.0 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN df USING (term), stats),
+imp AS (SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // greatest(n_terms, 1))) AS impact
+    FROM tf, stats),
+scored AS (SELECT item_id, row, doc_id, sum(w * impact) AS score FROM imp JOIN w USING (term) GROUP BY item_id, row, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST, row) AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS BIGINT) AS doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 50
+"""
+
+ORACLE: dict[str, str] = {"op8_exact_dedup": EXACT, "op10_source_mix": MIX, "op12_lexical_search": SEARCH}

@@ -14,6 +14,7 @@ from .common import remainder, stored, table
 from .exact import mark_copies, text_sha256
 from .merkle import compare_with_next
 from .minhash import mark_near_copies as mark_near_sets
+from .search import search
 from .mixture import mix
 from .simhash import hexadecimal, mark_near_copies
 
@@ -95,6 +96,11 @@ def minhash_near(spark: SparkSession, folder: str) -> DataFrame:
     return mark_near_sets(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return search(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe_round_trip,
     "op2_simhash_near": simhash_near,
@@ -107,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": language,
     "op10_source_mix": source_mix,
     "op11_minhash_near": minhash_near,
+    "op12_lexical_search": lexical_search,
 }
