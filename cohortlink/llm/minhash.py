@@ -7,8 +7,10 @@ that hash. The sketch of a set of n values keeps its k = n - ceil(0.8 n) + 1 sma
 lies in both sketches, and an inverted list of sketch values meets every such pair. So k grows with the
 set, and no pair is lost; a fixed k would miss pairs of long documents.
 
-Equal sets are collapsed into one node first, so groups of exact copies cost one sketch. Pairs from an
-inverted list are kept where sizes and positions still allow the threshold (at their first shared value
+A set is named by two 64-bit hashes of its sorted values (its value forwards and backwards), so that
+sets travel as names and only the sets of candidate pairs as values; two different sets of a corpus of
+10^10 share both names with odds below 10^-18. Equal sets are collapsed into one node first, so groups
+of exact copies cost one sketch. Pairs from an inverted list are kept where sizes and positions still allow the threshold (at their first shared value
 the overlap is at most one plus the shorter rest); the union of both sketches up to the smaller of their
 largest values then bounds the overlap from above (shared values below it are counted, above it at most
 the shorter remainder), and only pairs within that bound are intersected on their full sets. Confirmed
@@ -23,33 +25,47 @@ input's columns are carried in one struct, so no name of theirs clashes.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLANKS, stored
+from .common import stored
 from .components import components
 
+# Sent to tasks by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEED = 42
 # Link at 100 * |A ∩ B| >= LEAST * |A ∪ B|.
 LEAST = 80
 RESULT = ("n_shingles", "component_id", "kept")
+# Candidate sets fetched by a broadcast of their names up to so many, by a shuffle beyond.
+BROADCAST_NAMES = 1 << 21
 
 
-def words_of(text: Column) -> Column:
-    """Words of ``text`` lower-cased in A-Z; null has none."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lowered, f"[{BLANKS}]+"), lambda w: w != "")
+def shingle_values(text: bytes | None) -> np.ndarray:
+    """Sorted distinct XXH64 hashes (as signed 64-bit numbers) of the 2-word shingles of UTF-8 ``text``.
 
+    Words are runs of bytes other than space and 0x09-0x0D, lower-cased in A-Z; one word is its own shingle.
+    """
+    words = (text or b"").lower().split()
+    if len(words) < 2:
+        grams = words
+    else:
+        grams = {a + b" " + b for a, b in zip(words, words[1:])}
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
 
-def shingle_set(words: Column) -> Column:
-    """Distinct 2-word shingles of a column of ``words``; a single word is one; none, none.
 
-    ``words`` should be a column of its own, not an expression, which would be evaluated once per word.
-    """
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), F.slice(words, 2, F.greatest(n - 1, F.lit(1))),
-                       lambda x, y: F.concat(x, F.lit(" "), y))
-    return F.array_distinct(F.when(n == 1, words).otherwise(F.filter(pairs, lambda p: p.isNotNull())))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingle_set(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_values(None if t is None else t.encode()) for t in texts])
 
 
 def sketch_length(n: Column) -> Column:
@@ -62,24 +78,35 @@ def _reaches(overlap: Column, n_a: Column, n_b: Column) -> Column:
     return overlap * (100 + LEAST) >= (n_a + n_b) * LEAST
 
 
-def near_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs with ``node``, ``n_shingles``, ``_row``), (links a, b between nodes)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                       F.col("text").alias("_text"), F.col("doc_id").alias("_id"))
-    worded = rows.select("_row", "_id", words_of(F.col("_text")).alias("_words"))
-    hashed = worded.select("_row", "_id", F.array_sort(F.transform(shingle_set(F.col("_words")),
-                                                                    lambda s: F.xxhash64(s))).alias("_set"))
-    hashed = hashed.withColumn("n_shingles", F.size("_set").cast("long"))
-    sets = stored(hashed.where("n_shingles > 0").groupBy("_set").agg(F.first("n_shingles").alias("n"))
-                  .withColumn("node", F.monotonically_increasing_id()))
-    postings = sets.select("node", "n", F.posexplode(F.slice("_set", 1, sketch_length(F.col("n")))).alias("pos", "value"))
+def named_sets(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_set`` (sorted hashes), its names ``_k1``, ``_k2`` and ``n_shingles``."""
+    hashed = docs.withColumn("_set", shingle_set(F.col("text")))
+    return hashed.withColumns({"_k1": F.xxhash64("_set"), "_k2": F.xxhash64(F.reverse("_set")),
+                               "n_shingles": F.size("_set").cast("long")})
+
+
+def near_labels(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs (doc_id, text)``: doc_id, ``n_shingles``, ``_k1``, ``_k2`` and ``label``.
+
+    ``label`` names the row's component (null for an empty set).
+    """
+    base = stored(named_sets(docs.select("doc_id", "text")).select("doc_id", "_k1", "_k2", "n_shingles", "_set"))
+    full = base.where("n_shingles > 0")
+    nodes = stored(full.groupBy("_k1", "_k2").agg(F.first("n_shingles").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    postings = full.select("_k1", "_k2", F.col("n_shingles").alias("n"),
+                           F.posexplode(F.slice("_set", 1, sketch_length(F.col("n_shingles")))).alias("pos", "value")).distinct()
+    postings = postings.join(nodes.select("_k1", "_k2", "node"), ["_k1", "_k2"]).drop("_k1", "_k2")
     a, b = postings.alias("a"), postings.alias("b")
     rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node"))
                    & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * LEAST) & _reaches(rest, F.col("a.n"), F.col("b.n")))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    full = sets.select("node", "n", "_set")
-    sides = pairs.join(full.toDF("a", "n_a", "set_a"), "a").join(full.toDF("b", "n_b", "set_b"), "b")
+    pairs = stored(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(wanted, "node", "left_semi").select("_k1", "_k2", "node")
+    if wanted.count() <= BROADCAST_NAMES:
+        wanted = F.broadcast(wanted)
+    sets = stored(full.join(wanted, ["_k1", "_k2"]).dropDuplicates(["node"]).select("node", "n_shingles", "_set"))
+    sides = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
     # The union of both sketches below the smaller of their largest values: shared values there are known exactly.
     sk_a = F.slice("set_a", 1, sketch_length(F.col("n_a")))
     sk_b = F.slice("set_b", 1, sketch_length(F.col("n_b")))
@@ -88,8 +115,22 @@ def near_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bound = F.size(F.array_intersect(low_a, low_b)) + F.least(F.col("n_a") - F.size(low_a), F.col("n_b") - F.size(low_b))
     overlap = F.when(_reaches(bound, F.col("n_a"), F.col("n_b")), F.size(F.array_intersect("set_a", "set_b")))
     links = sides.where(_reaches(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
-    with_node = hashed.join(sets.select("_set", "node"), "_set", "left").drop("_set")
-    return with_node, links
+    labels = stored(components(links))
+    named = nodes.join(labels, "node", "left").select("_k1", "_k2", F.coalesce("label", "node").alias("label"))
+    return base.select("doc_id", "_k1", "_k2", "n_shingles").join(named, ["_k1", "_k2"], "left")
+
+
+def _with_components(labelled: DataFrame) -> DataFrame:
+    smallest = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    marked = labelled.join(smallest, "label", "left")
+    return marked.withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs (doc_id, text)``: doc_id, ``n_shingles``, ``component_id`` and ``kept``; see ``mark_near_copies``."""
+    marked = _with_components(near_labels(docs))
+    return marked.select("doc_id", "n_shingles", "component_id",
+                         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def mark_near_copies(docs: DataFrame) -> DataFrame:
@@ -97,20 +138,18 @@ def mark_near_copies(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the smallest doc_id reachable by links, the row's own included; ``kept`` is
     ``doc_id = component_id`` (false for a null id). The input's columns come back under their names, but
-    for those named like a result, which are replaced.
+    for those named like a result, which are replaced. The rows are matched to their components by the
+    names of their sets, found again from the text.
     """
-    with_node, links = near_nodes(docs)
-    with_node = stored(with_node)
-    labels = stored(components(links))
-    labelled = with_node.join(labels, "node", "left").select(
-        "_row", "_id", "n_shingles", "node", F.coalesce("label", "node").alias("label"))
-    smallest = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("_id").alias("component_id"))
-    marked = labelled.join(smallest, "label", "left").select(
-        "_row", "n_shingles", F.when(F.col("label").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("_id"))
+    named = stored(_with_components(near_labels(docs)).where("label IS NOT NULL")
+                   .select("_k1", "_k2", "component_id").dropDuplicates(["_k1", "_k2"]))
+    rows = named_sets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                                  F.col("doc_id"), F.col("text"))).drop("_set")
+    marked = rows.join(named, ["_k1", "_k2"], "left").withColumn("label", F.when(F.col("n_shingles") > 0, F.lit(1)))
     carried = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULT]
-    return marked.select(*carried, "n_shingles", "component_id",
-                         F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return marked.select(*carried, "n_shingles", component.alias("component_id"),
+                         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from .bpe import decode, encode, n_tokens
 from .common import remainder, stored, table
 from .exact import mark_copies, text_sha256
 from .merkle import compare_with_next
-from .minhash import mark_near_copies as mark_near_sets
+from .minhash import near_components
 from .search import search
 from .mixture import mix
 from .simhash import hexadecimal, mark_near_copies
@@ -93,7 +93,7 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def minhash_near(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return mark_near_sets(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_components(docs)
 
 
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlink.llm.minhash import drop_near_copies, mark_near_copies
+from cohortlink.llm.minhash import drop_near_copies, mark_near_copies, near_components
 
 
 def plain_set(text):
@@ -67,6 +67,8 @@ def test_against_all_pairs(spark, make_docs, seed):
     want = plain(rows)
     assert sorted(map(tuple, [r[:3] for r in got]), key=str) == sorted(want, key=str)
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
+    slim = near_components(make_docs(rows)).collect()
+    assert sorted(map(tuple, slim), key=str) == sorted(map(tuple, got), key=str)
 
 
 def test_long_sets_need_long_sketches(spark, make_docs):
