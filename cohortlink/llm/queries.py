@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import ctw, langid, licenses, toxicity, wrappers
 from .bpe import decode, encode, n_tokens
+from .codes import compress
 from .common import remainder, stored, table
 from .exact import mark_copies, text_sha256
 from .merkle import compare_with_next
@@ -101,6 +102,10 @@ def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return search(docs, table(spark, folder, "benchmark").select("item_id", "text"))
 
 
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return compress(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe_round_trip,
     "op2_simhash_near": simhash_near,
@@ -114,4 +119,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": source_mix,
     "op11_minhash_near": minhash_near,
     "op12_lexical_search": lexical_search,
+    "op13_vector_codes": vector_codes,
 }
