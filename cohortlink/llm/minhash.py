@@ -7,11 +7,17 @@ that hash. The sketch of a set of n values keeps its k = n - ceil(0.8 n) + 1 sma
 lies in both sketches, and an inverted list of sketch values meets every such pair. So k grows with the
 set, and no pair is lost; a fixed k would miss pairs of long documents.
 
+The one hash function orders values within two classes: values whose inverted list under the plain hash
+order is longer than ``HOT`` go behind all others. The prefix argument holds for any fixed order of all
+values, so no pair is lost; but a line or passage that many documents share no longer fills their
+sketches, and its inverted list no longer pairs them all. The hot values are broadcast after a count up to
+``BROADCAST_HOT``; beyond that, the plain hash order is used, with the same results.
+
 A set is named by two 64-bit hashes of its sorted values (its value forwards and backwards), so that
 sets travel as names and only the sets of candidate pairs as values; two different sets of a corpus of
 10^10 share both names with odds below 10^-18. Equal sets are collapsed into one node first, so groups
-of exact copies cost one sketch. Pairs from an inverted list are kept where sizes and positions still allow the threshold (at their first shared value
-the overlap is at most one plus the shorter rest); the union of both sketches up to the smaller of their
+of exact copies cost one sketch. Pairs from an inverted list are kept where sizes and positions still
+allow the threshold (at their first shared value the overlap is at most one plus the shorter rest); the union of both sketches up to the smaller of their
 largest values then bounds the overlap from above (shared values below it are counted, above it at most
 the shorter remainder), and only pairs within that bound are intersected on their full sets. Confirmed
 links go to ``components``.
@@ -47,6 +53,9 @@ LEAST = 80
 RESULT = ("n_shingles", "component_id", "kept")
 # Candidate sets fetched by a broadcast of their names up to so many, by a shuffle beyond.
 BROADCAST_NAMES = 1 << 21
+HOT = 64  # a value in more sketches than this goes to the back of the order
+BROADCAST_HOT = 1 << 22
+ORDERED = T.ArrayType(T.StructType([T.StructField("h", T.IntegerType()), T.StructField("v", T.LongType())]))
 
 
 def shingle_values(text: bytes | None) -> np.ndarray:
@@ -68,6 +77,21 @@ def shingle_set(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_values(None if t is None else t.encode()) for t in texts])
 
 
+def _sketch_of(values: np.ndarray, hot: np.ndarray, k: int) -> list[tuple[int, int]]:
+    flags = np.isin(values, hot, assume_unique=True)
+    ordered = np.concatenate((values[~flags], values[flags]))[:k]
+    return list(zip(np.sort(flags)[:k].astype(int).tolist(), ordered.tolist()))
+
+
+def ordered_sketches(hot):
+    """A pandas UDF: the first k values of a sorted set in the order (hot, hash), as (h, v) structs."""
+    @F.pandas_udf(ORDERED)
+    def sketch(sets: pd.Series, ks: pd.Series) -> pd.Series:
+        values = hot.value
+        return pd.Series([_sketch_of(np.asarray(s, np.int64), values, int(k)) for s, k in zip(sets, ks)])
+    return sketch
+
+
 def sketch_length(n: Column) -> Column:
     """How many of the smallest values a set of ``n`` keeps: n - ceil(LEAST n / 100) + 1 (none when empty)."""
     return F.when(n > 0, n - F.floor((n * LEAST + 99) / 100).cast("long") + 1).otherwise(0)
@@ -90,11 +114,18 @@ def near_labels(docs: DataFrame) -> DataFrame:
 
     ``label`` names the row's component (null for an empty set).
     """
+    spark = docs.sparkSession
     base = stored(named_sets(docs.select("doc_id", "text")).select("doc_id", "_k1", "_k2", "n_shingles", "_set"))
     full = base.where("n_shingles > 0")
     nodes = stored(full.groupBy("_k1", "_k2").agg(F.first("n_shingles").alias("n")).withColumn("node", F.monotonically_increasing_id()))
-    postings = full.select("_k1", "_k2", F.col("n_shingles").alias("n"),
-                           F.posexplode(F.slice("_set", 1, sketch_length(F.col("n_shingles")))).alias("pos", "value")).distinct()
+    plain = full.select(F.explode(F.slice("_set", 1, sketch_length(F.col("n_shingles")))).alias("value"))
+    hot = plain.groupBy("value").count().where(f"count > {HOT}").select("value")
+    n_hot = hot.count()
+    values = np.sort(np.array([r.value for r in hot.collect()], np.int64)) if n_hot <= BROADCAST_HOT else np.zeros(0, np.int64)
+    sketch = ordered_sketches(spark.sparkContext.broadcast(values))
+    sketched = stored(full.select("_k1", "_k2", F.col("n_shingles").alias("n"),
+                                  sketch(F.col("_set"), sketch_length(F.col("n_shingles"))).alias("sketch")).dropDuplicates(["_k1", "_k2"]))
+    postings = sketched.select("_k1", "_k2", "n", F.posexplode("sketch").alias("pos", "value")).withColumn("value", F.col("value.v"))
     postings = postings.join(nodes.select("_k1", "_k2", "node"), ["_k1", "_k2"]).drop("_k1", "_k2")
     a, b = postings.alias("a"), postings.alias("b")
     rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
@@ -105,11 +136,11 @@ def near_labels(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(wanted, "node", "left_semi").select("_k1", "_k2", "node")
     if wanted.count() <= BROADCAST_NAMES:
         wanted = F.broadcast(wanted)
-    sets = stored(full.join(wanted, ["_k1", "_k2"]).dropDuplicates(["node"]).select("node", "n_shingles", "_set"))
-    sides = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
+    sets = full.join(wanted, ["_k1", "_k2"]).dropDuplicates(["node"]).select("_k1", "_k2", "node", "n_shingles", "_set")
+    sets = stored(sets.join(sketched.select("_k1", "_k2", "sketch"), ["_k1", "_k2"]).drop("_k1", "_k2"))
+    sides = pairs.join(sets.toDF("a", "n_a", "set_a", "sk_a"), "a").join(sets.toDF("b", "n_b", "set_b", "sk_b"), "b")
     # The union of both sketches below the smaller of their largest values: shared values there are known exactly.
-    sk_a = F.slice("set_a", 1, sketch_length(F.col("n_a")))
-    sk_b = F.slice("set_b", 1, sketch_length(F.col("n_b")))
+    sk_a, sk_b = F.col("sk_a"), F.col("sk_b")
     top = F.least(F.element_at(sk_a, -1), F.element_at(sk_b, -1))
     low_a, low_b = F.filter(sk_a, lambda v: v <= top), F.filter(sk_b, lambda v: v <= top)
     bound = F.size(F.array_intersect(low_a, low_b)) + F.least(F.col("n_a") - F.size(low_a), F.col("n_b") - F.size(low_b))
