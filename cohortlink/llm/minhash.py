@@ -1,8 +1,8 @@
 """Near duplicates by MinHash: bottom-k sketches from one hash function, verified on whole shingle sets.
 
 A document's set holds its distinct word 2-shingles (words lower-cased in A-Z only; with one word, that
-word; with none, nothing). Every shingle is hashed once with XXH64 (seed 42), and the set is ordered by
-that hash. The sketch of a set of n values keeps its k = n - ceil(0.8 n) + 1 smallest: two sets with
+word; with none, nothing). Every word is hashed once with XXH64 (seed 42), a shingle by mixing its words'
+hashes through the MurmurHash3 finaliser, and the set is ordered by that one hash. The sketch of a set of n values keeps its k = n - ceil(0.8 n) + 1 smallest: two sets with
 100 |A ∩ B| >= 80 |A ∪ B| share at least ceil(0.8 max(|A|, |B|)) values, so the smallest value they share
 lies in both sketches, and an inverted list of sketch values meets every such pair. So k grows with the
 set, and no pair is lost; a fixed k would miss pairs of long documents.
@@ -17,16 +17,17 @@ A set is named by two 64-bit hashes of its sorted values (its value forwards and
 sets travel as names and only the sets of candidate pairs as values; two different sets of a corpus of
 10^10 share both names with odds below 10^-18. Equal sets are collapsed into one node first, so groups
 of exact copies cost one sketch. Pairs from an inverted list are kept where sizes and positions still
-allow the threshold (at their first shared value the overlap is at most one plus the shorter rest); the union of both sketches up to the smaller of their
-largest values then bounds the overlap from above (shared values below it are counted, above it at most
+allow the threshold (at their first shared value the overlap is at most one plus the shorter rest); the
+union of both sketches up to the smaller of their largest values then bounds the overlap from above (shared values below it are counted, above it at most
 the shorter remainder), and only pairs within that bound are intersected on their full sets. Confirmed
 links go to ``components``.
 
 The sets are compared as sets of 64-bit hashes: two different shingles of one pair of documents share a
 hash with odds below 2^-35 for texts of 20 000 words. Null and wordless texts have empty sets and are
 linked with nothing: their component is their own id. A null id is never the smallest unless a component
-has no other; its ``kept`` is false. Repeated rows share a node. Empty tables give empty results. The
-input's columns are carried in one struct, so no name of theirs clashes.
+has no other; its ``kept`` is false. Repeated rows share a node. Empty tables give empty results. Whole
+sets are never stored: they are found again from the text, for the candidate pairs only. The input's
+columns are carried in one struct, so no name of theirs clashes.
 """
 
 from __future__ import annotations
@@ -58,23 +59,42 @@ BROADCAST_HOT = 1 << 22
 ORDERED = T.ArrayType(T.StructType([T.StructField("h", T.IntegerType()), T.StructField("v", T.LongType())]))
 
 
-def shingle_values(text: bytes | None) -> np.ndarray:
-    """Sorted distinct XXH64 hashes (as signed 64-bit numbers) of the 2-word shingles of UTF-8 ``text``.
+MIX1, MIX2, ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def _finish(h: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser of MurmurHash3: a bijection that spreads every input bit."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def shingle_values(text: bytes | None, known: dict | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes (as signed numbers) of the 2-word shingles of UTF-8 ``text``.
 
     Words are runs of bytes other than space and 0x09-0x0D, lower-cased in A-Z; one word is its own shingle.
+    Each word is hashed once with XXH64 (seed 42); a shingle's hash mixes its two words' hashes.
     """
     words = (text or b"").lower().split()
-    if len(words) < 2:
-        grams = words
-    else:
-        grams = {a + b" " + b for a, b in zip(words, words[1:])}
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
+    known = {} if known is None else known
+    hashes = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w, SEED)) for w in words),
+                         np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        if len(words) < 2:
+            grams = _finish(hashes ^ ONE)
+        else:
+            grams = _finish(_finish(hashes[:-1] * MIX1) + hashes[1:] * MIX2)
+    if len(known) > 1 << 18:
+        known.clear()
+    return np.unique(grams.view(np.int64))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def shingle_set(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingle_values(None if t is None else t.encode()) for t in texts])
+    known: dict = {}
+    return pd.Series([shingle_values(None if t is None else t.encode(), known) for t in texts])
 
 
 def _sketch_of(values: np.ndarray, hot: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -115,29 +135,28 @@ def near_labels(docs: DataFrame) -> DataFrame:
     ``label`` names the row's component (null for an empty set).
     """
     spark = docs.sparkSession
-    base = stored(named_sets(docs.select("doc_id", "text")).select("doc_id", "_k1", "_k2", "n_shingles", "_set"))
-    full = base.where("n_shingles > 0")
-    nodes = stored(full.groupBy("_k1", "_k2").agg(F.first("n_shingles").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    slim = docs.select("doc_id", "text")
+    base = stored(named_sets(slim).select("doc_id", "_k1", "_k2", "n_shingles"))
+    full = named_sets(slim).where("n_shingles > 0")  # found again from the text wherever sets are needed
     plain = full.select(F.explode(F.slice("_set", 1, sketch_length(F.col("n_shingles")))).alias("value"))
     hot = plain.groupBy("value").count().where(f"count > {HOT}").select("value")
     n_hot = hot.count()
     values = np.sort(np.array([r.value for r in hot.collect()], np.int64)) if n_hot <= BROADCAST_HOT else np.zeros(0, np.int64)
     sketch = ordered_sketches(spark.sparkContext.broadcast(values))
-    sketched = stored(full.select("_k1", "_k2", F.col("n_shingles").alias("n"),
-                                  sketch(F.col("_set"), sketch_length(F.col("n_shingles"))).alias("sketch")).dropDuplicates(["_k1", "_k2"]))
-    postings = sketched.select("_k1", "_k2", "n", F.posexplode("sketch").alias("pos", "value")).withColumn("value", F.col("value.v"))
-    postings = postings.join(nodes.select("_k1", "_k2", "node"), ["_k1", "_k2"]).drop("_k1", "_k2")
+    node = F.struct("_k1", "_k2")
+    sketched = stored(full.select(node.alias("node"), F.col("n_shingles").alias("n"),
+                                  sketch(F.col("_set"), sketch_length(F.col("n_shingles"))).alias("sketch")).dropDuplicates(["node"]))
+    postings = sketched.select("node", "n", F.posexplode("sketch").alias("pos", "value")).withColumn("value", F.col("value.v"))
     a, b = postings.alias("a"), postings.alias("b")
     rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node"))
                    & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * LEAST) & _reaches(rest, F.col("a.n"), F.col("b.n")))
     pairs = stored(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select("_k1", "_k2", "node")
     if wanted.count() <= BROADCAST_NAMES:
         wanted = F.broadcast(wanted)
-    sets = full.join(wanted, ["_k1", "_k2"]).dropDuplicates(["node"]).select("_k1", "_k2", "node", "n_shingles", "_set")
-    sets = stored(sets.join(sketched.select("_k1", "_k2", "sketch"), ["_k1", "_k2"]).drop("_k1", "_k2"))
+    sets = full.select(node.alias("node"), "n_shingles", "_set").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = stored(sets.join(sketched.select("node", "sketch"), "node"))
     sides = pairs.join(sets.toDF("a", "n_a", "set_a", "sk_a"), "a").join(sets.toDF("b", "n_b", "set_b", "sk_b"), "b")
     # The union of both sketches below the smaller of their largest values: shared values there are known exactly.
     sk_a, sk_b = F.col("sk_a"), F.col("sk_b")
@@ -147,8 +166,10 @@ def near_labels(docs: DataFrame) -> DataFrame:
     overlap = F.when(_reaches(bound, F.col("n_a"), F.col("n_b")), F.size(F.array_intersect("set_a", "set_b")))
     links = sides.where(_reaches(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
     labels = stored(components(links))
-    named = nodes.join(labels, "node", "left").select("_k1", "_k2", F.coalesce("label", "node").alias("label"))
-    return base.select("doc_id", "_k1", "_k2", "n_shingles").join(named, ["_k1", "_k2"], "left")
+    named = labels.select(F.col("node._k1").alias("_k1"), F.col("node._k2").alias("_k2"), "label")
+    # A set that is linked with nothing is its own component.
+    return base.join(named, ["_k1", "_k2"], "left").withColumn(
+        "label", F.when(F.col("n_shingles") > 0, F.coalesce("label", F.struct("_k1", "_k2"))))
 
 
 def _with_components(labelled: DataFrame) -> DataFrame:
