@@ -2,7 +2,8 @@
 
 A document's set holds its distinct word 2-shingles (words lower-cased in A-Z only; with one word, that
 word; with none, nothing). Every word is hashed once with XXH64 (seed 42), a shingle by mixing its words'
-hashes through the MurmurHash3 finaliser, and the set is ordered by that one hash. The sketch of a set of n values keeps its k = n - ceil(0.8 n) + 1 smallest: two sets with
+hashes through the MurmurHash3 finaliser, and the set is ordered by that one hash. The sketch of a set of
+n values keeps its k = n - ceil(0.8 n) + 1 smallest: two sets with
 100 |A ∩ B| >= 80 |A ∪ B| share at least ceil(0.8 max(|A|, |B|)) values, so the smallest value they share
 lies in both sketches, and an inverted list of sketch values meets every such pair. So k grows with the
 set, and no pair is lost; a fixed k would miss pairs of long documents.
@@ -13,13 +14,13 @@ values, so no pair is lost; but a line or passage that many documents share no l
 sketches, and its inverted list no longer pairs them all. The hot values are broadcast after a count up to
 ``BROADCAST_HOT``; beyond that, the plain hash order is used, with the same results.
 
-A set is named by two 64-bit hashes of its sorted values (its value forwards and backwards), so that
+A set is named by two 64-bit hashes of its sorted values (XXH64 with seeds 1 and 2), so that
 sets travel as names and only the sets of candidate pairs as values; two different sets of a corpus of
 10^10 share both names with odds below 10^-18. Equal sets are collapsed into one node first, so groups
 of exact copies cost one sketch. Pairs from an inverted list are kept where sizes and positions still
 allow the threshold (at their first shared value the overlap is at most one plus the shorter rest); the
-union of both sketches up to the smaller of their largest values then bounds the overlap from above (shared values below it are counted, above it at most
-the shorter remainder), and only pairs within that bound are intersected on their full sets. Confirmed
+union of both sketches up to the smaller of their largest values then bounds the overlap from above (shared
+values below it are counted, above it at most the shorter remainder), and only pairs within that bound are intersected on their full sets. Confirmed
 links go to ``components``.
 
 The sets are compared as sets of 64-bit hashes: two different shingles of one pair of documents share a
@@ -91,10 +92,12 @@ def shingle_values(text: bytes | None, known: dict | None = None) -> np.ndarray:
     return np.unique(grams.view(np.int64))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def shingle_set(texts: pd.Series) -> pd.Series:
-    known: dict = {}
-    return pd.Series([shingle_values(None if t is None else t.encode(), known) for t in texts])
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _length(n: int) -> int:
+    return n - (n * LEAST + 99) // 100 + 1 if n else 0
 
 
 def _sketch_of(values: np.ndarray, hot: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -103,13 +106,33 @@ def _sketch_of(values: np.ndarray, hot: np.ndarray, k: int) -> list[tuple[int, i
     return list(zip(np.sort(flags)[:k].astype(int).tolist(), ordered.tolist()))
 
 
-def ordered_sketches(hot):
-    """A pandas UDF: the first k values of a sorted set in the order (hot, hash), as (h, v) structs."""
-    @F.pandas_udf(ORDERED)
-    def sketch(sets: pd.Series, ks: pd.Series) -> pd.Series:
-        values = hot.value
-        return pd.Series([_sketch_of(np.asarray(s, np.int64), values, int(k)) for s, k in zip(sets, ks)])
-    return sketch
+SUMMARY = T.StructType([T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()),
+                        T.StructField("n_shingles", T.LongType()), T.StructField("sketch", ORDERED)])
+
+
+def summaries(hot=None):
+    """A pandas UDF: per text its set's two names (XXH64 of the sorted values, seeds 1 and 2), size and sketch.
+
+    The sketch is the first k values in the order (hot, hash); with ``hot`` None, in the plain hash order.
+    """
+    @F.pandas_udf(SUMMARY)
+    def summary(texts: pd.Series) -> pd.DataFrame:
+        known: dict = {}
+        values = np.zeros(0, np.int64) if hot is None else hot.value
+        rows = []
+        for t in texts:
+            s = shingle_values(None if t is None else t.encode(), known)
+            raw = s.tobytes()
+            rows.append((_signed(xxhash.xxh64_intdigest(raw, 1)), _signed(xxhash.xxh64_intdigest(raw, 2)), len(s),
+                         _sketch_of(s, values, _length(len(s)))))
+        return pd.DataFrame(rows, columns=["_k1", "_k2", "n_shingles", "sketch"])
+    return summary
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingle_set(texts: pd.Series) -> pd.Series:
+    known: dict = {}
+    return pd.Series([shingle_values(None if t is None else t.encode(), known) for t in texts])
 
 
 def sketch_length(n: Column) -> Column:
@@ -122,11 +145,9 @@ def _reaches(overlap: Column, n_a: Column, n_b: Column) -> Column:
     return overlap * (100 + LEAST) >= (n_a + n_b) * LEAST
 
 
-def named_sets(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_set`` (sorted hashes), its names ``_k1``, ``_k2`` and ``n_shingles``."""
-    hashed = docs.withColumn("_set", shingle_set(F.col("text")))
-    return hashed.withColumns({"_k1": F.xxhash64("_set"), "_k2": F.xxhash64(F.reverse("_set")),
-                               "n_shingles": F.size("_set").cast("long")})
+def named_sets(docs: DataFrame, hot=None) -> DataFrame:
+    """``docs`` with the names ``_k1``, ``_k2`` of its set, ``n_shingles`` and ``sketch``."""
+    return docs.withColumn("_summary", summaries(hot)(F.col("text"))).select("*", "_summary.*").drop("_summary")
 
 
 def near_labels(docs: DataFrame) -> DataFrame:
@@ -136,16 +157,15 @@ def near_labels(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
-    base = stored(named_sets(slim).select("doc_id", "_k1", "_k2", "n_shingles"))
-    full = named_sets(slim).where("n_shingles > 0")  # found again from the text wherever sets are needed
-    plain = full.select(F.explode(F.slice("_set", 1, sketch_length(F.col("n_shingles")))).alias("value"))
+    first = stored(named_sets(slim).select("doc_id", "_k1", "_k2", "n_shingles", "sketch"))
+    base = first.select("doc_id", "_k1", "_k2", "n_shingles")
+    plain = first.where("n_shingles > 0").select(F.explode("sketch.v").alias("value"))
     hot = plain.groupBy("value").count().where(f"count > {HOT}").select("value")
     n_hot = hot.count()
     values = np.sort(np.array([r.value for r in hot.collect()], np.int64)) if n_hot <= BROADCAST_HOT else np.zeros(0, np.int64)
-    sketch = ordered_sketches(spark.sparkContext.broadcast(values))
     node = F.struct("_k1", "_k2")
-    sketched = stored(full.select(node.alias("node"), F.col("n_shingles").alias("n"),
-                                  sketch(F.col("_set"), sketch_length(F.col("n_shingles"))).alias("sketch")).dropDuplicates(["node"]))
+    ordered = named_sets(slim, spark.sparkContext.broadcast(values)).where("n_shingles > 0")
+    sketched = stored(ordered.select(node.alias("node"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"]))
     postings = sketched.select("node", "n", F.posexplode("sketch").alias("pos", "value")).withColumn("value", F.col("value.v"))
     a, b = postings.alias("a"), postings.alias("b")
     rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
@@ -155,9 +175,11 @@ def near_labels(docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     if wanted.count() <= BROADCAST_NAMES:
         wanted = F.broadcast(wanted)
-    sets = full.select(node.alias("node"), "n_shingles", "_set").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(sets.join(sketched.select("node", "sketch"), "node"))
-    sides = pairs.join(sets.toDF("a", "n_a", "set_a", "sk_a"), "a").join(sets.toDF("b", "n_b", "set_b", "sk_b"), "b")
+    # Whole sets are made again from the texts of the candidates only.
+    chosen = named_sets(slim).select(node.alias("node"), "text").join(wanted, "node", "left_semi") \
+        .dropDuplicates(["node"])
+    sets = stored(chosen.select("node", shingle_set(F.col("text")).alias("_set")).join(sketched, "node"))
+    sides = pairs.join(sets.toDF("a", "set_a", "n_a", "sk_a"), "a").join(sets.toDF("b", "set_b", "n_b", "sk_b"), "b")
     # The union of both sketches below the smaller of their largest values: shared values there are known exactly.
     sk_a, sk_b = F.col("sk_a"), F.col("sk_b")
     top = F.least(F.element_at(sk_a, -1), F.element_at(sk_b, -1))
@@ -196,7 +218,7 @@ def mark_near_copies(docs: DataFrame) -> DataFrame:
     named = stored(_with_components(near_labels(docs)).where("label IS NOT NULL")
                    .select("_k1", "_k2", "component_id").dropDuplicates(["_k1", "_k2"]))
     rows = named_sets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                                  F.col("doc_id"), F.col("text"))).drop("_set")
+                                  F.col("doc_id"), F.col("text"))).drop("sketch")
     marked = rows.join(named, ["_k1", "_k2"], "left").withColumn("label", F.when(F.col("n_shingles") > 0, F.lit(1)))
     carried = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULT]
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
