@@ -7,8 +7,9 @@ are left, at most one for each place, are broadcast and all texts are scored who
 
 It is learned from at most ``MOST_EXAMPLES`` labelled texts, those with the smallest hashes of their ids, passed
 ``EPOCHS`` times in that order by one task. Rows without a label are not learned from; several labels of one id
-count as the greatest; of rows that repeat an id, one is learned from. Null and empty texts have only the constant feature. Without examples every score is 0.5 and nothing is
-predicted toxic. Other columns pass through; those named like a result are replaced.
+count as the greatest; of rows that repeat an id, one is learned from. Null and empty texts have only the constant feature, which no L1 holds at zero: they score the
+learned share of toxic texts, below 0.5 unless most examples are toxic. Without examples every score is just below
+0.5 and nothing is predicted toxic. Other columns pass through; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -80,8 +81,10 @@ class Ftrl:
 
     def weights(self, at) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        small = np.abs(z) <= L1
-        return np.where(small, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        # The constant feature is not held to zero: it carries the share of toxic texts.
+        l1 = np.where(np.arange(len(self.z))[at] == 1 << BITS, 0.0, L1)
+        small = np.abs(z) <= l1
+        return np.where(small, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
         at = np.append(at, 1 << BITS)
@@ -139,7 +142,8 @@ def predict(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = np.zeros((1 << BITS) + 1)
         table[list(held.value)] = list(held.value.values())
-        words, constant = Words(), table[-1] if held.value else -1e-9
+        # Without a learned constant a text without features is just below the line: nothing is toxic without evidence.
+        words, constant = Words(), held.value.get(1 << BITS, -1e-9)
         for texts in batches:
             totals = np.full(len(texts), constant)
             for i, text in enumerate(texts):

@@ -99,3 +99,32 @@ def test_toxicity_rows(spark, make_docs):
     assert toxicity.learn(docs.limit(0), labels) == {}
     assert toxicity.predict(docs, {}).where("predicted = 1").count() == 0
     assert toxicity.predict(docs.limit(0), weights).count() == 0
+
+
+def test_ftrl_against_scalar_updates():
+    """FTRL-proximal coordinate by coordinate in plain Python; the constant has no L1."""
+    import math
+    rng = np.random.default_rng(7)
+    examples = [(np.unique(rng.integers(0, 50, 8)), int(rng.random() < .3)) for _ in range(300)]
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == 1 << toxicity.BITS else toxicity.L1
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((toxicity.BETA + math.sqrt(ni)) / toxicity.ALPHA + toxicity.L2)
+    model = toxicity.Ftrl()
+    for at, y in examples:
+        model.learn(at, y)
+        keys = [int(i) for i in at] + [1 << toxicity.BITS]
+        w = {i: weight(i) for i in keys}
+        p = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values())))))
+        g = (p - y) * (toxicity.TOXIC_WEIGHT if y else 1)
+        for i in keys:
+            ni = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(ni + g * g) - math.sqrt(ni)) / toxicity.ALPHA * w[i]
+            n[i] = ni + g * g
+    got = model.weights(slice(None))
+    assert np.allclose([got[i] for i in z], [weight(i) for i in z], rtol=1e-9, atol=1e-12)
+    assert got[-1] != 0
