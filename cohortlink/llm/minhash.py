@@ -20,8 +20,8 @@ sets travel as names and only the sets of candidate pairs as values; two differe
 of exact copies cost one sketch. Pairs from an inverted list are kept where sizes and positions still
 allow the threshold (at their first shared value the overlap is at most one plus the shorter rest); the
 union of both sketches up to the smaller of their largest values then bounds the overlap from above (shared
-values below it are counted, above it at most the shorter remainder), and only pairs within that bound are intersected on their full sets. Confirmed
-links go to ``components``.
+values below it are counted, above it at most the shorter remainder), and only pairs within that bound are
+intersected on their full sets. Confirmed links go to ``components``.
 
 The sets are compared as sets of 64-bit hashes: two different shingles of one pair of documents share a
 hash with odds below 2^-35 for texts of 20 000 words. Null and wordless texts have empty sets and are
@@ -171,21 +171,24 @@ def near_labels(docs: DataFrame) -> DataFrame:
     rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node"))
                    & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * LEAST) & _reaches(rest, F.col("a.n"), F.col("b.n")))
-    pairs = stored(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    # The union of both sketches below the smaller of their largest values: shared values there are known exactly,
+    # above it at most the shorter remainder. Only pairs within this bound are checked on whole sets.
+    both = pairs.join(sketched.toDF("a", "n_a", "sk_a"), "a").join(sketched.toDF("b", "n_b", "sk_b"), "b")
+    sk_a, sk_b = F.col("sk_a"), F.col("sk_b")
+    top = F.least(F.element_at(sk_a, -1), F.element_at(sk_b, -1))
+    low_a, low_b = F.filter(sk_a, lambda v: v <= top), F.filter(sk_b, lambda v: v <= top)
+    bound = F.size(F.array_intersect(low_a, low_b)) + F.least(F.col("n_a") - F.size(low_a), F.col("n_b") - F.size(low_b))
+    pairs = stored(both.where(_reaches(bound, F.col("n_a"), F.col("n_b"))).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     if wanted.count() <= BROADCAST_NAMES:
         wanted = F.broadcast(wanted)
     # Whole sets are made again from the texts of the candidates only.
-    chosen = named_sets(slim).select(node.alias("node"), "text").join(wanted, "node", "left_semi") \
+    chosen = named_sets(slim).select(node.alias("node"), "n_shingles", "text").join(wanted, "node", "left_semi") \
         .dropDuplicates(["node"])
-    sets = stored(chosen.select("node", shingle_set(F.col("text")).alias("_set")).join(sketched, "node"))
-    sides = pairs.join(sets.toDF("a", "set_a", "n_a", "sk_a"), "a").join(sets.toDF("b", "set_b", "n_b", "sk_b"), "b")
-    # The union of both sketches below the smaller of their largest values: shared values there are known exactly.
-    sk_a, sk_b = F.col("sk_a"), F.col("sk_b")
-    top = F.least(F.element_at(sk_a, -1), F.element_at(sk_b, -1))
-    low_a, low_b = F.filter(sk_a, lambda v: v <= top), F.filter(sk_b, lambda v: v <= top)
-    bound = F.size(F.array_intersect(low_a, low_b)) + F.least(F.col("n_a") - F.size(low_a), F.col("n_b") - F.size(low_b))
-    overlap = F.when(_reaches(bound, F.col("n_a"), F.col("n_b")), F.size(F.array_intersect("set_a", "set_b")))
+    sets = stored(chosen.select("node", "n_shingles", shingle_set(F.col("text")).alias("_set")))
+    sides = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
+    overlap = F.size(F.array_intersect("set_a", "set_b"))
     links = sides.where(_reaches(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
     labels = stored(components(links))
     named = labels.select(F.col("node._k1").alias("_k1"), F.col("node._k2").alias("_k2"), "label")
