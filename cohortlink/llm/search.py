@@ -8,7 +8,7 @@ w = floor(1000 ln((2N + 2) / (2 df + 1))); a document's impact for a term it hol
 the logarithm are 64-bit integers.
 
 The search follows LEMP: documents are held as impact vectors over the queries' terms and sorted into
-buckets of like norm (a factor of e^(1/8) apart). For a query and a bucket two upper bounds hold: its
+buckets of like norm (a factor of e^(1/64) apart). For a query and a bucket two upper bounds hold: its
 norm times the bucket's largest (Cauchy-Schwarz), and the sum of w times the bucket's largest impact of
 each term (coordinates). Each query first scores the buckets of its highest bounds until they are
 sure to hold ``k`` documents of positive score; the k-th of these scores is a floor that the final k-th
@@ -34,7 +34,8 @@ from .common import stored
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K = 50
-STEPS = 8  # norm buckets per factor e
+STEPS = 64  # norm buckets per factor e
+BROADCAST_TERMS = 1 << 20  # the queries' terms are broadcast up to so many, joined by a shuffle beyond
 SPREAD = 64  # parts of a query's candidates ranked apart before the final rank
 
 
@@ -55,15 +56,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Returns item_id, rank (int, from 1), doc_id, score (long).
     """
     rows = docs.select("doc_id", terms_of(F.col("text")).alias("terms")).withColumn("row", F.monotonically_increasing_id())
-    # Row numbers of a scan are the same each time it is read; the terms are not stored but found again.
-    sized = rows.select("row", "doc_id", F.size("terms").cast("long").alias("n"), "terms")
-    total = sized.agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
-    n_docs, n_terms = int(total["N"]), int(total["L"])
     asked = queries.select("item_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).distinct()
-    vocabulary = asked.select("term").distinct()
-    # Occurrences of the queries' terms only, counted per row before anything is shuffled.
-    held = sized.select("row", "doc_id", "n", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = held.groupBy("row", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    vocabulary = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    if vocabulary.count() <= BROADCAST_TERMS:
+        vocabulary = F.broadcast(vocabulary)
+    # One pass over the texts keeps the occurrences of the queries' terms and the first term of every row.
+    found = rows.select("row", "doc_id", F.size("terms").cast("long").alias("n"), F.posexplode_outer("terms").alias("pos", "term"))
+    kept = stored(found.join(vocabulary, "term", "left").where("_asked OR pos IS NULL OR pos = 0"))
+    total = kept.where("pos IS NULL OR pos = 0").agg(
+        F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
+    n_docs, n_terms = int(total["N"]), int(total["L"])
+    tf = kept.where("_asked").groupBy("row", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     m = F.expr(f"50 + (n * {50 * n_docs}) div {max(n_terms, 1)}")
     impacts = tf.withColumn("m", m).select("row", "doc_id", "term", F.expr("(1000000000 * tf) div (1000 * tf + 20 * m)").alias("impact"))
     df = impacts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
