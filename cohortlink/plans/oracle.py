@@ -77,13 +77,13 @@ def _sims(pairs: str, name: str = "sims") -> str:
     return f"""pairs_in AS (SELECT DISTINCT a, b FROM ({pairs})), {name} AS (SELECT a, b, s FROM ({_similarity('a', 'b')}))"""
 
 
-def _scored(block: str, least: float) -> str:
+def _scored(block: str, least: float, threshold: float = 0.85) -> str:
     """Tables ``scored``: pairs of ``block(row_number, raw, fi, la, dob, and the person's columns)`` with their score."""
     pairs = 'SELECT lower(trim(fi)) AS a, lower("Vorname") AS b FROM block UNION ALL SELECT lower(trim(la)), lower("Name") FROM block'
 
     def kind(a, b, s):
         return (f"CASE WHEN coalesce(trim({a}), '') = '' THEN 'NotCompared' WHEN coalesce({b}, '') = '' THEN 'MissingDBValue' "
-                f"WHEN lower(trim({a})) = lower({b}) THEN 'Exact' WHEN {s} >= 0.85 THEN 'Fuzzy' ELSE 'Mismatch' END")
+                f"WHEN lower(trim({a})) = lower({b}) THEN 'Exact' WHEN {s} >= {threshold} THEN 'Fuzzy' ELSE 'Mismatch' END")
     shifted = 'month(dob) = month("Geburtsdatum") AND day(dob) = day("Geburtsdatum") AND abs(year(dob) - year("Geburtsdatum")) = 1'
 
     def points(t, s):
@@ -120,11 +120,11 @@ _VARIED = f"""asked_for AS (SELECT * REPLACE (CASE WHEN row_number % 23 = 5 THEN
     WHEN dob_raw <> '' AND dob IS NULL THEN 'Invalid DOB format: ' || dob_raw END AS reason FROM asked_for)"""
 
 
-def _varied(least: float) -> str:
+def _varied(least: float, threshold: float = 0.85) -> str:
     return _with(PATIENTS, DIAGNOSES, REQUESTS, _VARIED, _scored("""
   SELECT r.row_number, r.raw, r.first_name AS fi, r.last_name AS la, r.dob, p.* FROM judged r, known p
   WHERE r.reason IS NULL AND CASE WHEN r.dob IS NOT NULL THEN year(p."Geburtsdatum") BETWEEN year(r.dob) - 1 AND year(r.dob) + 1
-    WHEN r.last_name <> '' THEN starts_with(p."Name", r.last_name) ELSE TRUE END""", least))
+    WHEN r.last_name <> '' THEN starts_with(p."Name", r.last_name) ELSE TRUE END""", least, threshold))
 
 
 _LINK = """SELECT i.row_number, p."PatientID", p."Vorname", p."Name", d."PatientID" AS "diagnoses_PatientID", d."ICD10",
@@ -280,6 +280,7 @@ ORACLE: dict[str, str] = {
     "q_fuzzy_default": _varied(0.3) + 'SELECT row_number AS csv_input_row_number, "PatientID", overall_score, primary_match_type FROM scored',
     "q_fuzzy_default_top3": _varied(0.3) + """SELECT csv_input_row_number, "PatientID", overall_score, rank FROM (SELECT row_number AS csv_input_row_number, "PatientID", overall_score,
         CAST(row_number() OVER (PARTITION BY row_number ORDER BY overall_score DESC, "PatientID") AS INTEGER) AS rank FROM scored) WHERE rank <= 3""",
+    "q_fuzzy_low": _varied(0.05, 0.6) + 'SELECT row_number AS csv_input_row_number, "PatientID", overall_score, primary_match_type FROM scored',
     "q_fuzzy_outcome": _varied(0.75) + """SELECT row_number, coalesce(reason, CASE WHEN row_number NOT IN (SELECT row_number FROM scored)
         THEN 'No matching patient found' END) AS reason FROM judged""",
     "q_html_clean": f"SELECT page_id, {_cleaned('html')} AS text FROM pages",

@@ -279,6 +279,14 @@ def q_fuzzy_default_top3(spark, folder):
     return best_matches(_default_matches(spark, folder), 3).select("csv_input_row_number", "PatientID", "overall_score", "rank")
 
 
+@query
+def q_fuzzy_low(spark, folder):
+    """A batch at a low threshold and score: alike names by prefix filtering, at threshold 0.6 and a least score of 0.05."""
+    low = LinkConfig(threshold=0.6, min_score=0.05)
+    return _rounded(fuzzy_link(*_varied(spark, folder), low)) \
+        .select("csv_input_row_number", "PatientID", "overall_score", "primary_match_type")
+
+
 @query
 def q_fuzzy_outcome(spark, folder):
     people, asked = _varied(spark, folder)

@@ -60,12 +60,35 @@ def test_long_names_are_found_and_have_few_keys(spark):
     assert all(_keyed(name, .85, given).count() < 6000 for given in (True, False))
 
 
-def test_alike_keeps_fields_apart_and_refuses_low_thresholds(spark):
+def test_alike_keeps_fields_apart_and_refuses_a_threshold_of_nothing(spark):
     a = spark.createDataFrame([("x", "anna")], "field string, name string")
     b = spark.createDataFrame([("y", "anna")], "field string, name string")
-    assert alike(a, b, .85).count() == 0
+    assert alike(a, b, .85).count() == 0 and alike(a, b, .5).count() == 0
     with pytest.raises(ValueError):
-        alike(a, b, .5)
+        alike(a, b, 0.0)
+
+
+@pytest.mark.parametrize("threshold", [.3, .5, .6, 2 / 3])
+def test_low_thresholds_find_what_comparing_every_pair_finds(spark, threshold):
+    """Prefix filtering on letters: every pair at or above the threshold, by brute force, on several-word names."""
+    left, right = _names(3, 90), _names(4, 90) + ["ab\u00a0cd", "cd ab ab", "gfedcba gfedcba", "a"]
+    want = {(a, b) for a in left for b in right if a == b or weighted_ratio(a, b) >= threshold}
+    frames = [spark.createDataFrame([("f", x) for x in xs], "field string, name string") for xs in (left, right)]
+    rows = [(r.given, r.stored) for r in alike(*frames, threshold).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert 0 < len(want) < len(left) * len(right)
+
+
+def test_prefixes_are_few_for_rare_letters(spark):
+    """Names of rare letters meet only names that hold them: candidates far below all pairs."""
+    from cohortlink.operators.prefix import prefix_pairs
+    common = ["".join(random.Random(i).choices("aeiou", k=8)) for i in range(60)]
+    rare = ["qxz" + c[:5] for c in common[:5]]
+    frame = spark.createDataFrame([("f", x) for x in sorted(set(common + rare))], "field string, name string")
+    pairs = prefix_pairs(frame, frame, .6)
+    rare_pairs = pairs.where(F.col("given").startswith("qxz")).collect()
+    assert {r.stored for r in rare_pairs} <= set(common + rare)
+    assert pairs.count() < len(set(common + rare)) ** 2
 
 
 def _brute(request, person, config):
