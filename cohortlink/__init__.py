@@ -7,7 +7,7 @@ from .model import LinkConfig
 from .operators.catalog import (catalog_of, discover_key_tables, list_tables, session_catalog, table_columns,
                                 table_summary)
 from .operators.link import TableSpec, link_tables
-from .operators.linkage import (best_matches, check_fuzzy, compact_matches, flat_matches, fuzzy_link, fuzzy_outcomes,
+from .operators.linkage import (best_matches, check_fuzzy, compact_matches, flat_matches, fuzzy_link, fuzzy_outcomes, fuzzy_top,
                                 fuzzy_search)
 from .operators.lookup import (all_patients, by_birth_years, by_demographics, by_id, by_last_name, demographic_misses,
                                demographic_outcomes, demographic_summary, id_failures, id_summary,

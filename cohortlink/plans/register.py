@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import (LinkConfig, TableSpec, all_patients, audit_log, best_matches, by_birth_years, by_demographics, by_id,
                 by_last_name, clean_html, compact_matches, demographic_misses, demographic_outcomes,
-                demographic_summary, distinct_people, flat_matches, fuzzy_link, fuzzy_outcomes, fuzzy_search, grouped_report,
+                demographic_summary, distinct_people, flat_matches, fuzzy_link, fuzzy_outcomes, fuzzy_search, fuzzy_top, grouped_report,
                 id_failures, id_summary, json_documents, link_tables, lookup_by_demographics, lookup_by_id,
                 mask_preview, mask_user, redact_dates, redact_secrets, redundant, run_summary, run_template,
                 search_line, section_rows, similarity, split_counts, text_report, value_lines)
@@ -276,7 +276,8 @@ def q_fuzzy_default(spark, folder):
 
 @query
 def q_fuzzy_default_top3(spark, folder):
-    return best_matches(_default_matches(spark, folder), 3).select("csv_input_row_number", "PatientID", "overall_score", "rank")
+    """The three best of each request by a threshold algorithm in rounds, not out of all matches."""
+    return _rounded(fuzzy_top(*_varied(spark, folder), 3)).select("csv_input_row_number", "PatientID", "overall_score", "rank")
 
 
 @query

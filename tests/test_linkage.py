@@ -149,6 +149,31 @@ def test_batch_finds_what_comparing_every_pair_finds(spark, config):
     assert sum(1 for r in rows if len(r.match_fields_info) == 3) == len(rows)
 
 
+@pytest.mark.parametrize("k,config", [(1, LinkConfig()), (3, LinkConfig()), (2, LinkConfig(min_score=.2, year_tolerance=2)),
+                                      (3, LinkConfig(min_score=.5, threshold=.6))])
+def test_top_k_in_rounds_equals_the_top_of_all_matches(spark, k, config):
+    """The threshold algorithm gives the k best of all matches, equal scores by id, and joins fewer candidates."""
+    from cohortlink.operators.linkage import fuzzy_top
+    people = _people(5, 160)
+    asked = [(f or "", ln or "", d) for _, f, ln, d in _people(6, 50)] + [("", "", None), (people[0][1] or "x", people[0][2] or "y", people[0][3])] * 2
+    want = {}
+    for i, request in enumerate(asked, 1):
+        scores = sorted(((-round(s, 9), person[0]) for person in people
+                         if (s := _brute(request, person, config)) is not None and s >= config.min_score and any(request)))
+        for rank, (s, pid) in enumerate(scores[:k], 1):
+            want[i, rank] = (pid, -s)
+    patients = spark.createDataFrame([(i, f, ln, d, None, None, None, None) for i, f, ln, d in people], PATIENT_SCHEMA)
+    requests = spark.createDataFrame([(i, *r) for i, r in enumerate(asked, 1)],
+                                     "row_number bigint, first_name string, last_name string, dob date")
+    rounds = []
+    rows = fuzzy_top(patients, requests, k, config, rounds=rounds).collect()
+    got = {(r.csv_input_row_number, r.rank): (r.PatientID, round(r.overall_score, 9)) for r in rows}
+    assert got == want
+    every = best_matches(fuzzy_link(patients, requests, config), k).collect()
+    assert sorted((r.csv_input_row_number, r.rank, r.PatientID) for r in every) == sorted((r.csv_input_row_number, r.rank, r.PatientID) for r in rows)
+    assert rounds and all(len(r) == 4 for r in rounds)
+
+
 def test_one_search_finds_what_a_batch_finds(spark):
     people = _people(5, 120)
     patients = spark.createDataFrame([(i, f, ln, d, None, None, None, None) for i, f, ln, d in people], PATIENT_SCHEMA)
