@@ -39,3 +39,20 @@ def test_rows_of_the_ids_asked_for_are_chosen_without_sorting(spark):
             assert "SortMergeJoin" not in line or not ("LeftSemi" in line or "LeftAnti" in line)
     # 25 even ids below 50 have twelve findings each, five up to 58 have none.
     assert found.count() == 25 * 12 + 5 and linked.count() == 25 * 12 + 5
+
+
+def test_a_limit_per_id_cuts_the_sorted_table_before_the_join(spark):
+    people, findings = _people(spark).unionByName(_people(spark)), _findings(spark)
+    more = spark.range(120).select((F.col("id") % 40).alias("PatientID"), F.col("id").alias("Level"))
+    others = [TableSpec("m", more, ["Level"]), TableSpec("d", findings, ["ICD10"])]
+    out = link_tables(TableSpec("p", people, ["PatientID"]), others, _asked(spark), limit=8, order_by=["ICD10 DESC"], clean=False)
+    rows = sorted((r.row_number, r.ICD10 or "") for r in out.collect())
+    expected = []
+    for i in range(40):
+        codes = sorted((f"I{n}" for n in range(600) if n % 50 == 2 * i and 2 * i < 50), reverse=True) or [""]
+        if 2 * i < 60:
+            levels = 3 if 2 * i < 40 else 1
+            expected += [(i, c) for c in [c for c in codes for _ in range(2 * levels)][:8]]
+    assert rows == sorted(expected)
+    # Ranked twice: the findings alone, then what the join makes of the first of them.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") >= 2
