@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlink import TableSpec, link_tables, lookup_by_id
+from cohortlink import LinkConfig, TableSpec, fuzzy_link, link_tables, lookup_by_id
 
 
 def _people(spark, n=60):
@@ -56,3 +56,11 @@ def test_a_limit_per_id_cuts_the_sorted_table_before_the_join(spark):
     assert rows == sorted(expected)
     # Ranked twice: the findings alone, then what the join makes of the first of them.
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") >= 2
+
+
+def test_names_are_compared_once_per_pair_of_names_not_per_pair_of_rows(spark):
+    requests = _asked(spark).select("row_number", F.lit("a").alias("first_name"), F.lit("b").alias("last_name"),
+                                    F.lit("2000-01-01").cast("date").alias("dob"))
+    found = fuzzy_link(_people(spark), requests, LinkConfig(min_score=.75))
+    assert found.count() == 40 * 60
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
