@@ -174,6 +174,25 @@ def test_top_k_in_rounds_equals_the_top_of_all_matches(spark, k, config):
     assert rounds and all(len(r) == 4 for r in rounds)
 
 
+def test_top_k_of_common_names_joins_a_few_people_of_each(spark):
+    """Repeated requests go as one, and of people alike in all that is compared only k (2 k a year) are joined."""
+    from cohortlink.operators.linkage import fuzzy_top
+    people = [(i, "Anna", "Schmidt", date(1980 + i % 3, 1 + i % 2, 1 + i % 2)) for i in range(120)]
+    people += [(200 + i, "Anna", "Schmidt", date(1980, 3, 1 + i % 28)) for i in range(60)]
+    patients = spark.createDataFrame([(i, f, ln, d, None, None, None, None) for i, f, ln, d in reversed(people)], PATIENT_SCHEMA)
+    asked = [("Anna", "Schmidt", date(1981, 1, 1)), ("Anna", "Schmidt", None), ("Anna", "", date(1980, 3, 2)), ("", "Schmidt", date(1979, 2, 2)),
+             ("Anna", "Schmitt", date(1981, 5, 5)), ("Anna", "", None)] * 20
+    requests = spark.createDataFrame([(i, *r) for i, r in enumerate(asked)], "row_number bigint, first_name string, last_name string, dob date")
+    for k in (1, 4):
+        rounds = []
+        top = fuzzy_top(patients, requests, k, rounds=rounds).collect()
+        every = best_matches(fuzzy_link(patients, requests), k).collect()
+        assert sorted((r.csv_input_row_number, r.rank, r.PatientID, round(r.overall_score, 9)) for r in top) \
+            == sorted((r.csv_input_row_number, r.rank, r.PatientID, round(r.overall_score, 9)) for r in every)
+        # All matches of these 120 requests are some 18 000 pairs.
+        assert sum(pairs for _, _, pairs, _ in rounds) < 1200 and max(n for *_, n in rounds) <= 4
+
+
 def test_one_search_finds_what_a_batch_finds(spark):
     people = _people(5, 120)
     patients = spark.createDataFrame([(i, f, ln, d, None, None, None, None) for i, f, ln, d in people], PATIENT_SCHEMA)
