@@ -13,8 +13,10 @@ norm times the bucket's largest (Cauchy-Schwarz), and the sum of w times the buc
 each term (coordinates). Each query first scores the buckets of its highest bounds until they are
 sure to hold ``k`` documents of positive score; the k-th of these scores is a floor that the final k-th
 cannot fall below. Only buckets whose bound reaches that floor are scored, and inside them only
-documents whose own norm bound reaches it. Survivors are scored exactly and the best k taken, equal
-scores by ascending doc_id (nulls last), then by row.
+documents whose own norm bound reaches it. Impact vectors are dealt to tasks whole, by row, and a pair's
+score is added up where its row is, so pairs of a query and a document are never shuffled before they are known
+to score the floor at least. Survivors' scores are exact and the best k are taken, equal scores by ascending
+doc_id (nulls last), then by row.
 
 Every row of ``docs`` is a document: repeated rows count and rank apart, null texts have no terms,
 documents without a term of the query never score. Queries with null or termless text find nothing.
@@ -60,15 +62,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     vocabulary = asked.select("term").distinct().withColumn("_asked", F.lit(True))
     if vocabulary.count() <= BROADCAST_TERMS:
         vocabulary = F.broadcast(vocabulary)
-    # One pass over the texts keeps the occurrences of the queries' terms and the first term of every row.
+    # One pass over the texts counts the queries' terms of every row; the row's first term stands for the row.
     found = rows.select("row", "doc_id", F.size("terms").cast("long").alias("n"), F.posexplode_outer("terms").alias("pos", "term"))
-    kept = stored(found.join(vocabulary, "term", "left").where("_asked OR pos IS NULL OR pos = 0"))
-    total = kept.where("pos IS NULL OR pos = 0").agg(
+    kept = found.join(vocabulary, "term", "left").where("_asked OR pos IS NULL OR pos = 0")
+    tf = stored(kept.groupBy("row", "doc_id", "n", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("_asked").alias("_asked"), F.min(F.coalesce("pos", F.lit(0))).alias("pos")))
+    total = tf.where("pos = 0").agg(
         F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
     n_docs, n_terms = int(total["N"]), int(total["L"])
-    tf = kept.where("_asked").groupBy("row", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     m = F.expr(f"50 + (n * {50 * n_docs}) div {max(n_terms, 1)}")
-    impacts = tf.withColumn("m", m).select("row", "doc_id", "term", F.expr("(1000000000 * tf) div (1000 * tf + 20 * m)").alias("impact"))
+    impacts = tf.where("_asked").withColumn("m", m).select(
+        "row", "doc_id", "term", F.expr("(1000000000 * tf) div (1000 * tf + 20 * m)").alias("impact"))
     df = impacts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "term").select(
         "item_id", "term", F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * n_docs + 2)) / (F.col("df") * 2 + 1))).cast("long").alias("w"))
@@ -87,21 +91,30 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     before = Window.partitionBy("item_id").orderBy(F.col("bound").desc(), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = bounds.withColumn("_sure", F.coalesce(F.sum("sure").over(before), F.lit(0))).where(f"_sure < {k}")
 
+    few = weights.count() <= BROADCAST_TERMS and bounds.count() <= BROADCAST_TERMS
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
     def scored(chosen: DataFrame, floor: DataFrame | None) -> DataFrame:
-        wanted = chosen.select("item_id", "bucket").join(weights, "item_id")
-        pairs = postings.join(wanted, ["bucket", "term"])
+        pairs = postings.repartition("row").join(small(weights), "term").join(small(chosen.select("item_id", "bucket")), ["item_id", "bucket"])
         if floor is not None:
-            pairs = pairs.join(floor, "item_id", "left").join(q_norm, "item_id").where(
+            least = q_norm.join(floor, "item_id", "left")
+            pairs = pairs.join(small(least), "item_id").where(
                 F.col("floor").isNull() | (F.col("norm") * F.col("q_norm") * (1 + 1e-9) + 1 >= F.col("floor")))
-        return pairs.groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
+        # Grouped by row before all else, so that the sums need no shuffle.
+        sums = pairs.groupBy("row", "item_id", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
+        if floor is None:
+            return sums
+        return sums.join(small(floor), "item_id", "left").where(F.col("floor").isNull() | (F.col("score") >= F.col("floor"))) \
+            .select("row", "item_id", "doc_id", "score")
 
     early = stored(_best(scored(first, None), k, F.pmod(F.col("row"), F.lit(SPREAD))))
     floors = early.where(f"rank = {k}").select("item_id", F.col("score").alias("floor"))
-    rest = bounds.join(first.select("item_id", "bucket"), ["item_id", "bucket"], "left_anti").join(floors, "item_id", "left") \
-        .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).select("item_id", "bucket")
-    late = scored(rest, floors)
-    found = early.select("item_id", "row", "doc_id", "score").unionByName(late)
-    best = _best(found, k, F.pmod(F.col("row"), F.lit(SPREAD)))
+    rest = stored(bounds.join(first.select("item_id", "bucket"), ["item_id", "bucket"], "left_anti").join(floors, "item_id", "left")
+                  .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).select("item_id", "bucket"))
+    late = scored(rest, floors).select("item_id", "row", "doc_id", "score")
+    best = _best(stored(early.select("item_id", "row", "doc_id", "score").unionByName(late)), k, F.pmod(F.col("row"), F.lit(SPREAD)))
     return best.select("item_id", F.col("rank").cast("int"), F.col("doc_id").cast("long"), F.col("score").cast("long"))
 
 

@@ -45,6 +45,26 @@ def test_against_all_pairs(spark, make_docs, k):
     assert sorted(map(tuple, got), key=str) == plain(docs, queries, k)
 
 
+def test_only_pairs_that_reach_the_floor_leave_their_row(spark, make_docs, monkeypatch):
+    """Every document shares a word with every query, yet only those at or above an item's k-th early score are kept."""
+    from cohortlink.llm import search as module
+    sizes, plain_stored = [], module.stored
+
+    def watched(df):
+        out = plain_stored(df)
+        if {"item_id", "score"} <= set(out.columns) and "rank" not in out.columns:
+            sizes.append(out.count())
+        return out
+    monkeypatch.setattr(module, "stored", watched)
+    rng = random.Random(4)
+    docs = [(i, "the " * rng.randint(1, 3) + " ".join(rng.choice(["alpha", "beta", "gamma", "x", "y"]) for _ in range(rng.randint(1, 40))))
+            for i in range(300)]
+    queries = [(i, f"the {w}") for i, w in enumerate(["alpha", "beta", "gamma", "alpha beta"])]
+    got = module.search(make_docs(docs), spark.createDataFrame(queries, "item_id long, text string"), k=3).collect()
+    assert sorted(map(tuple, got), key=str) == plain(docs, queries, 3)
+    assert sizes and sum(sizes) < 300
+
+
 def test_empty(spark, make_docs):
     bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert search(make_docs([(1, "b")]).limit(0), bench).count() == 0
