@@ -14,14 +14,17 @@ values, so no pair is lost; but a line or passage that many documents share no l
 sketches, and its inverted list no longer pairs them all. The hot values are broadcast after a count up to
 ``BROADCAST_HOT``; beyond that, the plain hash order is used, with the same results.
 
-A set is named by two 64-bit hashes of its sorted values (XXH64 with seeds 1 and 2), so that
-sets travel as names and only the sets of candidate pairs as values; two different sets of a corpus of
-10^10 share both names with odds below 10^-18. Equal sets are collapsed into one node first, so groups
-of exact copies cost one sketch. Pairs from an inverted list are kept where sizes and positions still
-allow the threshold (at their first shared value the overlap is at most one plus the shorter rest); the
-union of both sketches up to the smaller of their largest values then bounds the overlap from above (shared
-values below it are counted, above it at most the shorter remainder), and only pairs within that bound are
-intersected on their full sets. Confirmed links go to ``components``.
+A set is named by two 64-bit hashes of its sorted values (XXH64 with seeds 1 and 2); two different sets of
+a corpus of 10^10 share both names with odds below 10^-18. Equal sets are collapsed into one node with a
+number first, so groups of exact copies cost one sketch, and pairs travel as two numbers. Pairs from an
+inverted list are kept where sizes and positions still allow the threshold (at their first shared value the
+overlap is at most one plus the shorter rest). Two bounds then thin them out, both exact. Each set has a parity
+sketch, about as many bits as values, each the parity of the number of its values that end in that bit's number: where
+two such sketches differ, so do the sets, hence |A ∩ B| <= (|A| + |B| - differing bits) / 2. And the union of
+both sketches up to the smaller of their largest values bounds the overlap (shared values below it are counted,
+above it at most the shorter remainder). Only pairs within both bounds are intersected on their full sets: first
+each node's most promising pair, then, of the others, those whose nodes are not connected yet, since only the
+components are asked for. Confirmed links go to ``components``.
 
 The sets are compared as sets of 64-bit hashes: two different shingles of one pair of documents share a
 hash with odds below 2^-35 for texts of 20 000 words. Null and wordless texts have empty sets and are
@@ -57,8 +60,7 @@ RESULT = ("n_shingles", "component_id", "kept")
 BROADCAST_NAMES = 1 << 21
 HOT = 64  # a value in more sketches than this goes to the back of the order
 BROADCAST_HOT = 1 << 22
-ORDERED = T.ArrayType(T.StructType([T.StructField("h", T.IntegerType()), T.StructField("v", T.LongType())]))
-
+MARK_BITS = 23
 
 MIX1, MIX2, ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -100,39 +102,72 @@ def _length(n: int) -> int:
     return n - (n * LEAST + 99) // 100 + 1 if n else 0
 
 
-def _sketch_of(values: np.ndarray, hot: np.ndarray, k: int) -> list[tuple[int, int]]:
-    flags = np.isin(values, hot, assume_unique=True)
-    ordered = np.concatenate((values[~flags], values[flags]))[:k]
-    return list(zip(np.sort(flags)[:k].astype(int).tolist(), ordered.tolist()))
+def _marks(hot: np.ndarray) -> np.ndarray:
+    """Which last bits ``hot`` values have: a quick test before they are searched."""
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[hot & ((1 << MARK_BITS) - 1)] = True
+    return marks
+
+
+def _is_hot(values: np.ndarray, hot: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in the sorted ``hot``."""
+    flags = marks[values & ((1 << MARK_BITS) - 1)]
+    some = values[flags]
+    if len(some):
+        flags[flags] = hot[np.minimum(np.searchsorted(hot, some), len(hot) - 1)] == some
+    return flags
+
+
+def parity_sketch(values: np.ndarray) -> np.ndarray:
+    """64-bit words, a power of two of them and at least a bit a value; a bit is the parity of the values that end in its number."""
+    bits = max(256, 1 << max(len(values) - 1, 0).bit_length())
+    odd = np.bincount(values & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
 
+SUMMARY = T.StructType([T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()), T.StructField("n_shingles", T.LongType()),
+                        T.StructField("cold", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())),
+                        T.StructField("parity", T.ArrayType(T.LongType()))])
 
-SUMMARY = T.StructType([T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()),
-                        T.StructField("n_shingles", T.LongType()), T.StructField("sketch", ORDERED)])
+
+def _names_of(s: np.ndarray) -> tuple[int, int]:
+    raw = s.tobytes()
+    return _signed(xxhash.xxh64_intdigest(raw, 1)), _signed(xxhash.xxh64_intdigest(raw, 2))
 
 
 def summaries(hot=None):
-    """A pandas UDF: per text its set's two names (XXH64 of the sorted values, seeds 1 and 2), size and sketch.
+    """A pandas UDF: per text its set's two names (XXH64 of the sorted values, seeds 1 and 2), size, sketch and parity sketch.
 
-    The sketch is the first k values in the order (hot, hash); with ``hot`` None, in the plain hash order.
+    The sketch is the first k values in the order (hot, hash), of which the first ``cold`` are not hot; with ``hot``
+    None, in the plain hash order.
     """
     @F.pandas_udf(SUMMARY)
     def summary(texts: pd.Series) -> pd.DataFrame:
         known: dict = {}
         values = np.zeros(0, np.int64) if hot is None else hot.value
-        rows = []
+        marks, rows = _marks(values), []
         for t in texts:
             s = shingle_values(None if t is None else t.encode(), known)
-            raw = s.tobytes()
-            rows.append((_signed(xxhash.xxh64_intdigest(raw, 1)), _signed(xxhash.xxh64_intdigest(raw, 2)), len(s),
-                         _sketch_of(s, values, _length(len(s)))))
-        return pd.DataFrame(rows, columns=["_k1", "_k2", "n_shingles", "sketch"])
-    return summary
+            k, flags = _length(len(s)), _is_hot(s, values, marks)
+            cold = s[~flags][:k]
+            rows.append((*_names_of(s), len(s), len(cold), np.concatenate((cold, s[flags][:k - len(cold)])), parity_sketch(s)))
+        return pd.DataFrame(rows, columns=["_k1", "_k2", "n_shingles", "cold", "sketch", "parity"])
+    return summary.asNondeterministic()  # so that a filter on the result does not make it again
+
+
+NAMED = T.StructType([T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()), T.StructField("n_shingles", T.LongType()),
+                      T.StructField("_set", T.ArrayType(T.LongType()))])
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def shingle_set(texts: pd.Series) -> pd.Series:
+@F.pandas_udf(NAMED)
+def shingle_set(texts: pd.Series) -> pd.DataFrame:
+    """Per text its set's two names, size and values."""
     known: dict = {}
-    return pd.Series([shingle_values(None if t is None else t.encode(), known) for t in texts])
+    sets = [shingle_values(None if t is None else t.encode(), known) for t in texts]
+    return pd.DataFrame([(*_names_of(s), len(s), s) for s in sets], columns=["_k1", "_k2", "n_shingles", "_set"])
+
+
+shingle_set = shingle_set.asNondeterministic()
 
 
 def sketch_length(n: Column) -> Column:
@@ -146,10 +181,53 @@ def _reaches(overlap: Column, n_a: Column, n_b: Column) -> Column:
 
 
 def named_sets(docs: DataFrame, hot=None) -> DataFrame:
-    """``docs`` with the names ``_k1``, ``_k2`` of its set, ``n_shingles`` and ``sketch``."""
+    """``docs`` with the names ``_k1``, ``_k2`` of its set, ``n_shingles``, ``cold``, ``sketch`` and ``parity``."""
     return docs.withColumn("_summary", summaries(hot)(F.col("text"))).select("*", "_summary.*").drop("_summary")
 
 
+def _folded(long: Column, short: Column) -> Column:
+    """A parity sketch brought to the size of one that is half as long."""
+    half = F.size(short)
+    return F.when(F.size(long) > half, F.zip_with(F.slice(long, 1, half), F.slice(long, half + 1, half), lambda x, y: x.bitwiseXOR(y))) \
+        .otherwise(long)
+
+
+def _candidates(sketched: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of the nodes ``sketched (id, n, cold, sketch, parity)`` within the bounds, and the likeness ``most`` they allow."""
+    postings = sketched.select("id", "n", F.posexplode("sketch").alias("pos", "value"))
+    a, b = postings.alias("a"), postings.alias("b")
+    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id"))
+                 & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * LEAST) & _reaches(rest, F.col("a.n"), F.col("b.n")))
+    met = stored(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    parities = sketched.select("id", "n", "parity")
+    both = met.join(parities.toDF("a", "n_a", "p_a"), "a").join(parities.toDF("b", "n_b", "p_b"), "b")
+    # Sizes within the threshold have sketches of one size, or one of half the other's.
+    apart = F.aggregate(F.zip_with(_folded(F.col("p_a"), F.col("p_b")), _folded(F.col("p_b"), F.col("p_a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                        F.lit(0), lambda total, x: total + x)
+    by_parity = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
+    met = stored(both.withColumn("by_parity", by_parity).where(_reaches(F.col("by_parity"), F.col("n_a"), F.col("n_b")))
+                 .select("a", "b", "n_a", "n_b", "by_parity"))
+    # Shared values up to the smaller of the largest values of both sketches are known exactly, above it at most the shorter remainder.
+    sketches = sketched.select("id", "cold", "sketch", F.struct((F.size("sketch") > F.col("cold")).alias("h"), F.element_at("sketch", -1).alias("v")))
+    both = met.join(sketches.toDF("a", "cold_a", "sk_a", "end_a"), "a").join(sketches.toDF("b", "cold_b", "sk_b", "end_b"), "b") \
+        .withColumn("top", F.least("end_a", "end_b"))
+
+    def low(sketch: str, cold: str) -> Column:
+        behind = F.col("top.h")
+        return F.size(F.filter(sketch, lambda v, i: F.when(i < F.col(cold), behind | (v <= F.col("top.v"))).otherwise(behind & (v <= F.col("top.v")))))
+    by_union = F.size(F.array_intersect("sk_a", "sk_b")) + F.least(F.col("n_a") - low("sk_a", "cold_a"), F.col("n_b") - low("sk_b", "cold_b"))
+    return both.withColumn("bound", F.least(by_union, F.col("by_parity"))).where(_reaches(F.col("bound"), F.col("n_a"), F.col("n_b"))) \
+        .select("a", "b", (F.col("bound") / (F.col("n_a") + F.col("n_b") - F.col("bound"))).alias("most"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole sets meet the threshold."""
+    sides = pairs.select("a", "b").join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
+    overlap = F.size(F.array_intersect("set_a", "set_b"))
+    return stored(sides.where(_reaches(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b"))
+
+
 def near_labels(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: doc_id, ``n_shingles``, ``_k1``, ``_k2`` and ``label``.
 
@@ -159,42 +237,38 @@ def near_labels(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     first = stored(named_sets(slim).select("doc_id", "_k1", "_k2", "n_shingles", "sketch"))
     base = first.select("doc_id", "_k1", "_k2", "n_shingles")
-    plain = first.where("n_shingles > 0").select(F.explode("sketch.v").alias("value"))
-    hot = plain.groupBy("value").count().where(f"count > {HOT}").select("value")
+    plain = first.where("n_shingles > 0").select(F.explode("sketch").alias("value"))
+    hot = stored(plain.groupBy("value").count().where(f"count > {HOT}").select("value"))
     n_hot = hot.count()
     values = np.sort(np.array([r.value for r in hot.collect()], np.int64)) if n_hot <= BROADCAST_HOT else np.zeros(0, np.int64)
-    node = F.struct("_k1", "_k2")
-    ordered = named_sets(slim, spark.sparkContext.broadcast(values)).where("n_shingles > 0")
-    sketched = stored(ordered.select(node.alias("node"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"]))
-    postings = sketched.select("node", "n", F.posexplode("sketch").alias("pos", "value")).withColumn("value", F.col("value.v"))
-    a, b = postings.alias("a"), postings.alias("b")
-    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node"))
-                   & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * LEAST) & _reaches(rest, F.col("a.n"), F.col("b.n")))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    # The union of both sketches below the smaller of their largest values: shared values there are known exactly,
-    # above it at most the shorter remainder. Only pairs within this bound are checked on whole sets.
-    both = pairs.join(sketched.toDF("a", "n_a", "sk_a"), "a").join(sketched.toDF("b", "n_b", "sk_b"), "b")
-    sk_a, sk_b = F.col("sk_a"), F.col("sk_b")
-    top = F.least(F.element_at(sk_a, -1), F.element_at(sk_b, -1))
-    low_a, low_b = F.filter(sk_a, lambda v: v <= top), F.filter(sk_b, lambda v: v <= top)
-    bound = F.size(F.array_intersect(low_a, low_b)) + F.least(F.col("n_a") - F.size(low_a), F.col("n_b") - F.size(low_b))
-    pairs = stored(both.where(_reaches(bound, F.col("n_a"), F.col("n_b"))).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ordered = named_sets(slim, spark.sparkContext.broadcast(values)).where("n_shingles > 0") \
+        .withColumn("_text", F.xxhash64("text")).dropDuplicates(["_k1", "_k2"])
+    sketched = stored(ordered.select(F.monotonically_increasing_id().alias("id"), "_k1", "_k2", "_text",
+                                     F.col("n_shingles").alias("n"), "cold", "sketch", "parity"))
+    pairs = stored(_candidates(sketched.select("id", "n", "cold", "sketch", "parity")))
+    nodes = sketched.select("id", "_k1", "_k2", "_text")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = stored(nodes.join(ends, "id"))
+    texts = wanted.select("_text").distinct()
     if wanted.count() <= BROADCAST_NAMES:
-        wanted = F.broadcast(wanted)
-    # Whole sets are made again from the texts of the candidates only.
-    chosen = named_sets(slim).select(node.alias("node"), "n_shingles", "text").join(wanted, "node", "left_semi") \
-        .dropDuplicates(["node"])
-    sets = stored(chosen.select("node", "n_shingles", shingle_set(F.col("text")).alias("_set")))
-    sides = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
-    overlap = F.size(F.array_intersect("set_a", "set_b"))
-    links = sides.where(_reaches(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
-    labels = stored(components(links))
-    named = labels.select(F.col("node._k1").alias("_k1"), F.col("node._k2").alias("_k2"), "label")
+        texts = F.broadcast(texts)
+    # Whole sets are made again from the texts of the candidates only, found by a hash of the text.
+    chosen = slim.select("text", F.xxhash64("text").alias("_text")).join(texts, "_text", "left_semi").dropDuplicates(["text"])
+    made = chosen.select(shingle_set(F.col("text")).alias("_made")).select("_made.*")
+    sets = stored(made.join(wanted, ["_k1", "_k2"]).select("id", "n_shingles", "_set").dropDuplicates(["id"]))
+    sides = pairs.select(F.col("a").alias("id"), "most", "a", "b").union(pairs.select(F.col("b").alias("id"), "most", "a", "b"))
+    best = stored(sides.groupBy("id").agg(F.max(F.struct("most", "a", "b")).alias("_best")).select("_best.a", "_best.b").distinct())
+    links = _confirmed(best, sets)
+    near = stored(components(links)).toDF("id", "label")
+    # Pairs that the links so far connect need no check.
+    left = pairs.select("a", "b").join(best, ["a", "b"], "left_anti") \
+        .join(near.toDF("a", "label_a"), "a", "left").join(near.toDF("b", "label_b"), "b", "left") \
+        .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+    links = links.unionByName(_confirmed(stored(left.select("a", "b")), sets))
+    labels = stored(components(links)).toDF("id", "label")
     # A set that is linked with nothing is its own component.
-    return base.join(named, ["_k1", "_k2"], "left").withColumn(
-        "label", F.when(F.col("n_shingles") > 0, F.coalesce("label", F.struct("_k1", "_k2"))))
+    named = nodes.join(labels, "id", "left").select("_k1", "_k2", F.coalesce("label", "id").alias("label"))
+    return base.join(named, ["_k1", "_k2"], "left")
 
 
 def _with_components(labelled: DataFrame) -> DataFrame:
@@ -221,7 +295,7 @@ def mark_near_copies(docs: DataFrame) -> DataFrame:
     named = stored(_with_components(near_labels(docs)).where("label IS NOT NULL")
                    .select("_k1", "_k2", "component_id").dropDuplicates(["_k1", "_k2"]))
     rows = named_sets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                                  F.col("doc_id"), F.col("text"))).drop("sketch")
+                                  F.col("doc_id"), F.col("text"))).drop("cold", "sketch", "parity")
     marked = rows.join(named, ["_k1", "_k2"], "left").withColumn("label", F.when(F.col("n_shingles") > 0, F.lit(1)))
     carried = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULT]
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

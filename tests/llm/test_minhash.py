@@ -4,10 +4,12 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlink.llm.minhash import drop_near_copies, mark_near_copies, near_components
+from cohortlink.llm import minhash
+from cohortlink.llm.minhash import drop_near_copies, mark_near_copies, near_components, parity_sketch
 
 
 def plain_set(text):
@@ -71,6 +73,39 @@ def test_against_all_pairs(spark, make_docs, seed):
     assert sorted(map(tuple, slim), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_parity_sketches_bound_the_difference():
+    rng = random.Random(3)
+    for n in (1, 5, 255, 300, 1000, 5000):
+        base = [rng.getrandbits(63) for _ in range(n + n // 4 + 1)]
+        a, b = np.unique(base[:n]), np.unique(base[rng.randint(0, n // 4):])
+        p, q = parity_sketch(a), parity_sketch(b)
+        while len(p) != len(q):
+            p, q = sorted((p, q), key=len)
+            q = q[:len(q) // 2] ^ q[len(q) // 2:]
+        apart = sum(int(x).bit_count() for x in (p ^ q).view(np.uint64))
+        assert len(p) & (len(p) - 1) == 0 and apart <= len(np.setxor1d(a, b))
+        assert 64 * len(parity_sketch(a)) >= len(a)
+
+
+def test_pairs_that_share_a_line_are_dropped_before_their_sketches_meet(spark, make_docs, monkeypatch):
+    """A shared line in otherwise different texts makes many pairs of postings, but hardly any that carries sketches or sets."""
+    sizes, plain_stored = {}, minhash.stored
+
+    def watched(df):
+        out = plain_stored(df)
+        sizes[tuple(out.columns)] = out.count()
+        return out
+    monkeypatch.setattr(minhash, "stored", watched)
+    rng = random.Random(8)
+    line = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join([f"w{rng.randrange(10 ** 6)}" for _ in range(60)] + line)) for i in range(50)]
+    rows += [(100 + i, t + " end") for i, t in rows[:3]]
+    got = {r.doc_id: r.component_id for r in near_components(make_docs(rows)).collect()}
+    assert got == {d: c for d, _, c in plain(rows)}
+    # The pairs met in the postings, those within the parity bound, and those within both bounds.
+    assert sizes["a", "b", "n_a", "n_b", "by_parity"] <= 30 and sizes["a", "b", "most"] <= 30
+
+
 def test_long_sets_need_long_sketches(spark, make_docs):
     # 5000 shingles, 800 changed in the second: a sketch of fixed length would often miss the pair.
     a = [f"t{i}" for i in range(5001)]
