@@ -22,8 +22,8 @@ overlap is at most one plus the shorter rest). Two bounds then thin them out, bo
 sketch, about as many bits as values, each the parity of the number of its values that end in that bit's number: where
 two such sketches differ, so do the sets, hence |A ∩ B| <= (|A| + |B| - differing bits) / 2. And the union of
 both sketches up to the smaller of their largest values bounds the overlap (shared values below it are counted,
-above it at most the shorter remainder). Only pairs within both bounds are intersected on their full sets: first
-each node's most promising pair, then, of the others, those whose nodes are not connected yet, since only the
+above it at most the shorter remainder). Only pairs within both bounds are intersected on their full sets: each
+component's most promising pair in rounds, then all others whose nodes are not connected yet, since only the
 components are asked for. Confirmed links go to ``components``.
 
 The sets are compared as sets of 64-bit hashes: two different shingles of one pair of documents share a
@@ -61,6 +61,7 @@ BROADCAST_NAMES = 1 << 21
 HOT = 64  # a value in more sketches than this goes to the back of the order
 BROADCAST_HOT = 1 << 22
 MARK_BITS = 23
+ROUNDS = 4  # of checks of each component's most promising pair, before all pairs left
 
 MIX1, MIX2, ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -228,6 +229,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(sides.where(_reaches(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
 
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed pairs ``(a, b)`` of ``pairs (a, b, most)`` that connect all that the confirmed ones of all pairs connect.
+
+    In each round the most promising pair of every component is checked, and pairs within a component are dropped, so a group
+    of near copies takes links in proportion to its size; after ``ROUNDS``, all pairs left are checked.
+    """
+    links, rest = None, pairs.select("a", "b", "most", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
+    for _ in range(ROUNDS):
+        sides = rest.select(F.col("label_a").alias("id"), "most", "a", "b").union(rest.select(F.col("label_b").alias("id"), "most", "a", "b"))
+        best = stored(sides.groupBy("id").agg(F.max(F.struct("most", "a", "b")).alias("_best")).select("_best.a", "_best.b").distinct())
+        if links is not None and best.isEmpty():
+            return links
+        found = _confirmed(best, sets)
+        links = found if links is None else links.unionByName(found)
+        near = stored(components(links)).toDF("id", "label")
+        rest = stored(rest.select("a", "b", "most").join(best, ["a", "b"], "left_anti")
+                      .join(near.toDF("a", "label_a"), "a", "left").join(near.toDF("b", "label_b"), "b", "left")
+                      .withColumn("label_a", F.coalesce("label_a", "a")).withColumn("label_b", F.coalesce("label_b", "b"))
+                      .where("label_a <> label_b"))
+    return links.unionByName(_confirmed(rest, sets))
+
+
 def near_labels(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: doc_id, ``n_shingles``, ``_k1``, ``_k2`` and ``label``.
 
@@ -256,16 +279,7 @@ def near_labels(docs: DataFrame) -> DataFrame:
     chosen = slim.select("text", F.xxhash64("text").alias("_text")).join(texts, "_text", "left_semi").dropDuplicates(["text"])
     made = chosen.select(shingle_set(F.col("text")).alias("_made")).select("_made.*")
     sets = stored(made.join(wanted, ["_k1", "_k2"]).select("id", "n_shingles", "_set").dropDuplicates(["id"]))
-    sides = pairs.select(F.col("a").alias("id"), "most", "a", "b").union(pairs.select(F.col("b").alias("id"), "most", "a", "b"))
-    best = stored(sides.groupBy("id").agg(F.max(F.struct("most", "a", "b")).alias("_best")).select("_best.a", "_best.b").distinct())
-    links = _confirmed(best, sets)
-    near = stored(components(links)).toDF("id", "label")
-    # Pairs that the links so far connect need no check.
-    left = pairs.select("a", "b").join(best, ["a", "b"], "left_anti") \
-        .join(near.toDF("a", "label_a"), "a", "left").join(near.toDF("b", "label_b"), "b", "left") \
-        .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-    links = links.unionByName(_confirmed(stored(left.select("a", "b")), sets))
-    labels = stored(components(links)).toDF("id", "label")
+    labels = stored(components(_linked(pairs, sets))).toDF("id", "label")
     # A set that is linked with nothing is its own component.
     named = nodes.join(labels, "id", "left").select("_k1", "_k2", F.coalesce("label", "id").alias("label"))
     return base.join(named, ["_k1", "_k2"], "left")
