@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import math
 import sys
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,8 @@ WORD_PARTS = 10  # bits of a word's hash that name a part
 FIRST_WORD_PART = 1 << 8 * SPLIT
 END_WORD = b""
 COUNTED = 1 << 21  # numbers a task gathers before it adds them up
-BLOCK = 8 << 20  # bytes of text scored together
+BLOCK = 16 << 20  # bytes of text that ask together: the larger, the fewer grams are asked for twice
+CHUNK = 2 << 20  # bytes of text turned into grams at once
 SMOOTHING = 0.1
 # Below its part a gram has so many bytes.
 SUFFIX = DEPTH + 1 - SPLIT
@@ -67,9 +69,14 @@ def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((len(j) + 1 for j in joined), np.int64, len(joined))
     keep = np.ones(len(letters), bool)
     starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+    # Two and four bytes, the last in front; of these a gram takes the bytes before it.
+    two, four = letters.astype(np.uint16) << 8, np.zeros(len(letters), np.uint32)
+    two[1:] |= letters[:-1]
+    four[2:] = two[2:].astype(np.uint32) << 16 | two[:-2]
     keys = letters.astype(np.uint64)
+    keys[1:] |= four[:-1].astype(np.uint64) << np.uint64(8 * (DEPTH - 3))
+    keys[5:] |= two[:-5].astype(np.uint64) << np.uint64(8 * (DEPTH - 5))
     for back in range(1, DEPTH + 1):
-        keys[back:] |= letters[:-back].astype(np.uint64) << np.uint64(8 * (DEPTH - back + 1))
         keep[starts + back - 1] = False
     return keys[keep], sizes
 
@@ -200,7 +207,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of_words[END_WORD] += 1
             some.append(words)
             size += len(text.as_py() or b"")
-            if size > BLOCK:
+            if size > CHUNK:
                 of_grams.add(*tally(grams(some)[0]))
                 some, size = [], 0
             if len(of_words) > COUNTED // 8:
@@ -430,27 +437,59 @@ def learn(texts: DataFrame) -> Model:
 
 # Scoring ------------------------------------------------------------------------------------------------
 
+def _chunks(texts: Iterable[bytes | None]) -> Iterator[list[list[bytes]]]:
+    """The words of texts, some megabytes of text at a time."""
+    some, size = [], 0
+    for text in texts:
+        some.append(words_of(text))
+        size += len(text or b"")
+        if size > CHUNK:
+            ready, some, size = some, [], 0
+            yield ready
+            del ready
+    if some:
+        yield some
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct keys of some lists, in order."""
+    keys = np.sort(np.concatenate(parts), kind="stable")  # which merges what is in order
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+
+
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task code: texts in order of blocks to each block's distinct grams and words by part."""
-    block, some = None, []
+    block, some, size, keys, words = None, [], 0, [], {END_WORD}
+
+    def take():
+        nonlocal some, size
+        if some:
+            keys.append(tally(grams(some)[0])[0])
+            words.update(chain.from_iterable(some))
+        some, size = [], 0
 
     def out():
-        keys = tally(grams(some)[0])[0]
-        words = np.unique(word_keys({w for words in some for w in words} | {END_WORD}))
-        runs = [(p, keys[b:e]) for p, b, e in cut(gram_parts(keys))] + [(p, words[b:e]) for p, b, e in cut(word_parts(words))]
+        nonlocal keys, words
+        take()
+        distinct, hashes = _merged(keys), _merged([word_keys(words)])
+        keys, words = [], {END_WORD}
+        runs = [(p, distinct[b:e]) for p, b, e in cut(gram_parts(distinct))] + [(p, hashes[b:e]) for p, b, e in cut(word_parts(hashes))]
         return pa.RecordBatch.from_arrays([
             pa.array([p for p, _ in runs], pa.int32()), pa.array([block] * len(runs), pa.int32()),
             pa.array([pack_keys(k, p) for p, k in runs], pa.binary())],
             ["part", "block", "keys"])
 
     for batch in batches:
-        for b, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for b, text in zip(batch.column("block").to_pylist(), batch.column("text")):
             if b != block:
-                if some:
+                if block is not None:
                     yield out()
-                block, some = b, []
+                block = b
             some.append(words_of(text.as_py()))
-    if some:
+            size += len(text.as_py() or b"")
+            if size > CHUNK:
+                take()
+    if block is not None:
         yield out()
 
 
@@ -487,33 +526,44 @@ def _answer(top):
     return work
 
 
-def _score(tokens: int, distinct: int):
+def _score(tokens: int, distinct_words: int):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """Task code: a block's texts and the answers to it to the scores of its texts."""
-        texts = [words_of(t.as_py()) for t in docs.column("text")]
-        keys, sizes = grams(texts)
         own = {p: v for p, v in zip(answers.column("part").to_pylist(), answers.column("values"))}
         values = np.concatenate([unpack_values(own[p]) for p in sorted(own) if p < FIRST_WORD_PART])
-        order = np.argsort(keys)
-        keys = keys[order]
-        logs = np.empty(len(keys))
-        logs[order] = values[np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))]
-        score = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-        words = {w for t in texts for w in t} | {END_WORD}
-        hashes = word_keys(words)
-        asked = np.concatenate([unpack_values(own[p]) for p in sorted(own) if p >= FIRST_WORD_PART])
-        count_of = dict(zip(words, asked[np.searchsorted(np.unique(hashes), hashes)].tolist()))
-        whole = math.log10(tokens + SMOOTHING * (distinct + 1))
-        base, known = [], []
-        for t in texts:
-            counts = np.fromiter(map(count_of.__getitem__, t), float, len(t))
-            counts = np.append(counts, count_of[END_WORD])
-            base.append(float((np.log10(counts + SMOOTHING) - whole).sum()))
-            known.append(int((counts > 0).sum()))
+        # Of each chunk its distinct grams, how often each occurs and in which texts; then the block's distinct grams, which were asked for.
+        distinct, times, places, sizes = [], [], [], []
+        number: defaultdict = defaultdict(count().__next__)  # words in order of their first occurrence
+        of_words, n_words = [np.array([number[END_WORD]], np.int32)], []
+        for some in _chunks(t.as_py() for t in docs.column("text")):
+            keys, size = grams(some)
+            order = np.argsort(keys)
+            keys = keys[order]
+            begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            distinct.append(keys[begins])
+            times.append(np.diff(begins, append=len(keys)).astype(np.int32))
+            places.append(np.repeat(np.arange(len(some), dtype=np.min_scalar_type(len(some))), size)[order])
+            sizes.append(size)
+            n_words += [len(words) for words in some]
+            of_words.append(np.fromiter(map(number.__getitem__, chain.from_iterable(some)), np.int32))
+            del some, keys, order, begins  # before the next chunk is made
+        asked, score = _merged(distinct), []
+        for keys, n, place, size in zip(distinct, times, places, sizes):
+            score.append(np.bincount(place, np.repeat(values[np.searchsorted(asked, keys)], n), len(size)))
+        hashes = word_keys(number)
+        counts = np.concatenate([unpack_values(own[p]) for p in sorted(own) if p >= FIRST_WORD_PART])
+        counts = counts[np.searchsorted(_merged([hashes]), hashes)]
+        logs = np.log10(counts + SMOOTHING) - math.log10(tokens + SMOOTHING * (distinct_words + 1))
+        # The end of a text, word 0, counts as its last word.
+        begins = np.cumsum(n_words) - n_words
+        words = np.insert(np.concatenate(of_words)[1:], begins + n_words, 0)
+        begins, n_tokens = begins + np.arange(len(begins)), np.array(n_words, np.int64) + 1
+        base = np.add.reduceat(logs[words], begins)
+        known = np.add.reduceat((counts > 0)[words].astype(np.int64), begins)
         return pa.table({
-            "doc_id": docs.column("doc_id"), "n_bytes": pa.array(sizes), "n_tokens": pa.array([len(t) + 1 for t in texts], pa.int64()),
-            "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(texts), pa.int64()),
-            "base_score": pa.array(base, pa.float64()), "score": pa.array(score)})
+            "doc_id": docs.column("doc_id"), "n_bytes": pa.array(np.concatenate(sizes)), "n_tokens": pa.array(n_tokens, pa.int64()),
+            "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(base), pa.int64()),
+            "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(score))})
     return work
 
 
@@ -525,10 +575,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     whole = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = 1 + whole // BLOCK
+    # Dealt once, for the questions and for the scores: both sides read the same shuffle, so neither drops a column of it.
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id",
-                        F.col("text").cast("binary").alias("text"))
-    asked = stored(dealt.select("block", "text").repartition("block").sortWithinPartitions("block")
-                   .mapInArrow(_ask, "part int, block int, keys binary"))
+                        F.col("text").cast("binary").alias("text")).repartition("block")
+    asked = dealt.sortWithinPartitions("block").mapInArrow(_ask, "part int, block int, keys binary")
     # A part that very many blocks ask is answered in several places.
     places = 1 + blocks // 512
     known = model.counts.select("part", F.lit(-1).alias("block"), "keys", "counts",
@@ -538,7 +588,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     top = spark.sparkContext.broadcast(model.top)
     answers = (both.repartition("part", "place").sortWithinPartitions("part", "place", "block")
                .select("part", "block", "keys", "counts").mapInArrow(_answer(top), "part int, block int, values binary"))
-    return (dealt.groupBy("block").cogroup(stored(answers).groupBy("block"))
+    return (dealt.groupBy("block").cogroup(answers.groupBy("block"))
             .applyInArrow(_score(model.tokens, model.distinct),
                           "doc_id long, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 

@@ -96,6 +96,21 @@ def test_against_a_plain_tree(spark, make_docs):
         assert got[i].n_bytes == len(stream(t))
 
 
+def test_texts_are_dealt_once_and_answers_are_not_kept_beside_their_shuffle(spark, make_docs, monkeypatch):
+    """Only the counts are stored; a block of several chunks of text gives the same scores."""
+    kept, plain_stored = [], ctw.stored
+    monkeypatch.setattr(ctw, "stored", lambda df: kept.append(df.columns) or plain_stored(df))
+    monkeypatch.setattr(ctw, "CHUNK", 20)
+    plain, texts = Plain(TRAIN), TRAIN[:7] + OTHER
+    scored = ctw.score(make_docs(list(enumerate(texts))), ctw.learn(make_docs(list(enumerate(TRAIN))).select("text")))
+    got = {r.doc_id: r for r in scored.collect()}
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(plain.score(t), rel=1e-6)
+        assert (got[i].n_tokens, got[i].n_known, got[i].base_score) == (*base(TRAIN, t)[:2], pytest.approx(base(TRAIN, t)[3], rel=1e-9))
+    assert kept == [["part", "keys", "counts"]]
+    assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_six_bytes_of_context_in_full_numbers(spark, make_docs):
     train = ["xabcdefg yabcdefh"] * 40
     plain = Plain(train)
