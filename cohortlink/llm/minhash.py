@@ -8,23 +8,29 @@ n values keeps its k = n - ceil(0.8 n) + 1 smallest: two sets with
 lies in both sketches, and an inverted list of sketch values meets every such pair. So k grows with the
 set, and no pair is lost; a fixed k would miss pairs of long documents.
 
-The one hash function orders values within two classes: values whose inverted list under the plain hash
-order is longer than ``HOT`` go behind all others. The prefix argument holds for any fixed order of all
-values, so no pair is lost; but a line or passage that many documents share no longer fills their
-sketches, and its inverted list no longer pairs them all. The hot values are broadcast after a count up to
-``BROADCAST_HOT``; beyond that, the plain hash order is used, with the same results.
+The one hash function orders values within classes of rarity: the class of a value is the logarithm of the number
+of sets that hold it, rounded up, and rarer classes come first. The prefix argument holds for any fixed order of all
+values, so no pair is lost; but a line or passage that many documents share no longer fills their sketches. A value
+of a single set can meet nothing, so it takes its place in the sketch and no posting: most texts have enough of them
+to leave no posting at all. For the counts, values travel as words of 40 bits (two values that share a word share a
+class and a list, which costs a comparison, never a link): each chunk of sets asks the buckets of the word space,
+which count what all chunks ask and answer with a byte a value. Nothing of this is broadcast.
 
 A set is named by two 64-bit hashes of its sorted values (XXH64 with seeds 1 and 2); two different sets of
 a corpus of 10^10 share both names with odds below 10^-18. Equal sets are collapsed into one node with a
-number first, so groups of exact copies cost one sketch, and pairs travel as two numbers. Pairs from an
-inverted list are kept where sizes and positions still allow the threshold (at their first shared value the
-overlap is at most one plus the shorter rest). Two bounds then thin them out, both exact. Each set has a parity
-sketch, about as many bits as values, each the parity of the number of its values that end in that bit's number: where
-two such sketches differ, so do the sets, hence |A ∩ B| <= (|A| + |B| - differing bits) / 2. And the union of
-both sketches up to the smaller of their largest values bounds the overlap (shared values below it are counted,
-above it at most the shorter remainder). Only pairs within both bounds are intersected on their full sets: each
-component's most promising pair in rounds, then all others whose nodes are not connected yet, since only the
-components are asked for. Confirmed links go to ``components``.
+number first, so groups of exact copies cost one sketch, and pairs travel as two numbers.
+
+The postings of one value are first joined in stars: each is paired with one pivot of the list, as central as can be,
+so a list costs as many pairs as it has members. What is confirmed is linked, and lists whose members all lie in one
+component are done. After ``STARS`` rounds, only postings of different components are paired. So a group of near copies
+takes links in proportion to its size. Pairs are kept where sizes and positions still allow the threshold (at their
+first shared value the overlap is at most one plus the shorter rest). Two bounds then thin them out, both exact. Each
+set has a parity sketch, about as many bits as values, each the parity of the number of its values that end in that
+bit's number: where two such sketches differ, so do the sets, hence |A ∩ B| <= (|A| + |B| - differing bits) / 2. And the
+union of both bottom-k sketches (the k smallest values in plain hash order) up to the smaller of their largest values
+bounds the overlap (shared values below it are counted, above it at most the shorter remainder). Only pairs within both
+bounds are intersected on their full sets: of the last pairs, each component's most promising one in rounds, then all
+others whose nodes are not connected yet, since only the components are asked for.
 
 The sets are compared as sets of 64-bit hashes: two different shingles of one pair of documents share a
 hash with odds below 2^-35 for texts of 20 000 words. Null and wordless texts have empty sets and are
@@ -37,9 +43,11 @@ columns are carried in one struct, so no name of theirs clashes.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -58,10 +66,11 @@ LEAST = 80
 RESULT = ("n_shingles", "component_id", "kept")
 # Candidate sets fetched by a broadcast of their names up to so many, by a shuffle beyond.
 BROADCAST_NAMES = 1 << 21
-HOT = 64  # a value in more sketches than this goes to the back of the order
-BROADCAST_HOT = 1 << 22
-MARK_BITS = 23
-ROUNDS = 4  # of checks of each component's most promising pair, before all pairs left
+WORD_BYTES = 5  # of a value's hash, for counts and postings
+CHUNK_BITS = 10  # so many sets ask for their counts together, as a power of two
+BUCKET = 1 << 20  # values counted at a time, about
+STARS = 3  # rounds of pairs with a pivot of each list, before pairs across components
+ROUNDS = 2  # of checks of each component's most promising pair, before all pairs left
 
 MIX1, MIX2, ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -103,20 +112,17 @@ def _length(n: int) -> int:
     return n - (n * LEAST + 99) // 100 + 1 if n else 0
 
 
-def _marks(hot: np.ndarray) -> np.ndarray:
-    """Which last bits ``hot`` values have: a quick test before they are searched."""
-    marks = np.zeros(1 << MARK_BITS, bool)
-    marks[hot & ((1 << MARK_BITS) - 1)] = True
-    return marks
+def _packed(values: np.ndarray) -> bytes:
+    """The leading bits of the values, as little-endian words of ``WORD_BYTES``."""
+    words = values.view(np.uint64) >> np.uint64(64 - 8 * WORD_BYTES)
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
 
 
-def _is_hot(values: np.ndarray, hot: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Which ``values`` are in the sorted ``hot``."""
-    flags = marks[values & ((1 << MARK_BITS) - 1)]
-    some = values[flags]
-    if len(some):
-        flags[flags] = hot[np.minimum(np.searchsorted(hot, some), len(hot) - 1)] == some
-    return flags
+def _unpacked(words: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(words), np.uint8).reshape(-1, WORD_BYTES)
+    full = np.zeros((len(raw), 8), np.uint8)
+    full[:, :WORD_BYTES] = raw
+    return full.view("<u8").ravel()
 
 
 def parity_sketch(values: np.ndarray) -> np.ndarray:
@@ -127,8 +133,7 @@ def parity_sketch(values: np.ndarray) -> np.ndarray:
 
 
 SUMMARY = T.StructType([T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()), T.StructField("n_shingles", T.LongType()),
-                        T.StructField("cold", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())),
-                        T.StructField("parity", T.ArrayType(T.LongType()))])
+                        T.StructField("words", T.BinaryType())])
 
 
 def _names_of(s: np.ndarray) -> tuple[int, int]:
@@ -136,36 +141,28 @@ def _names_of(s: np.ndarray) -> tuple[int, int]:
     return _signed(xxhash.xxh64_intdigest(raw, 1)), _signed(xxhash.xxh64_intdigest(raw, 2))
 
 
-def summaries(hot=None):
-    """A pandas UDF: per text its set's two names (XXH64 of the sorted values, seeds 1 and 2), size, sketch and parity sketch.
-
-    The sketch is the first k values in the order (hot, hash), of which the first ``cold`` are not hot; with ``hot``
-    None, in the plain hash order.
-    """
+def summaries(with_words: bool):
+    """A pandas UDF: per text its set's two names (XXH64 of the sorted values, seeds 1 and 2), size and, if asked for, packed words."""
     @F.pandas_udf(SUMMARY)
     def summary(texts: pd.Series) -> pd.DataFrame:
         known: dict = {}
-        values = np.zeros(0, np.int64) if hot is None else hot.value
-        marks, rows = _marks(values), []
-        for t in texts:
-            s = shingle_values(None if t is None else t.encode(), known)
-            k, flags = _length(len(s)), _is_hot(s, values, marks)
-            cold = s[~flags][:k]
-            rows.append((*_names_of(s), len(s), len(cold), np.concatenate((cold, s[flags][:k - len(cold)])), parity_sketch(s)))
-        return pd.DataFrame(rows, columns=["_k1", "_k2", "n_shingles", "cold", "sketch", "parity"])
+        sets = (shingle_values(None if t is None else t.encode(), known) for t in texts)
+        return pd.DataFrame([(*_names_of(s), len(s), _packed(s) if with_words else None) for s in sets],
+                            columns=["_k1", "_k2", "n_shingles", "words"])
     return summary.asNondeterministic()  # so that a filter on the result does not make it again
 
 
 NAMED = T.StructType([T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()), T.StructField("n_shingles", T.LongType()),
-                      T.StructField("_set", T.ArrayType(T.LongType()))])
+                      T.StructField("_set", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(NAMED)
 def shingle_set(texts: pd.Series) -> pd.DataFrame:
-    """Per text its set's two names, size and values."""
+    """Per text its set's two names, size, values and parity sketch."""
     known: dict = {}
     sets = [shingle_values(None if t is None else t.encode(), known) for t in texts]
-    return pd.DataFrame([(*_names_of(s), len(s), s) for s in sets], columns=["_k1", "_k2", "n_shingles", "_set"])
+    return pd.DataFrame([(*_names_of(s), len(s), s, parity_sketch(s)) for s in sets],
+                        columns=["_k1", "_k2", "n_shingles", "_set", "parity"])
 
 
 shingle_set = shingle_set.asNondeterministic()
@@ -181,9 +178,84 @@ def _reaches(overlap: Column, n_a: Column, n_b: Column) -> Column:
     return overlap * (100 + LEAST) >= (n_a + n_b) * LEAST
 
 
-def named_sets(docs: DataFrame, hot=None) -> DataFrame:
-    """``docs`` with the names ``_k1``, ``_k2`` of its set, ``n_shingles``, ``cold``, ``sketch`` and ``parity``."""
-    return docs.withColumn("_summary", summaries(hot)(F.col("text"))).select("*", "_summary.*").drop("_summary")
+def named_sets(docs: DataFrame, with_words: bool = False) -> DataFrame:
+    """``docs`` with the names ``_k1``, ``_k2`` of its set, ``n_shingles`` and, if asked for, ``words``."""
+    named = docs.withColumn("_summary", summaries(with_words)(F.col("text"))).select("*", "_summary.*").drop("_summary")
+    return named if with_words else named.drop("words")
+
+
+def _buckets_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words * np.uint64(buckets)) >> np.uint64(8 * WORD_BYTES)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
+def _asking(buckets: int):
+    """Task code: sets ``(id, words)`` to what each run of sets of a chunk asks each bucket of the word space."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            chunks = ids >> CHUNK_BITS
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(ids)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                words = _unpacked(batch.column(1).slice(i, j - i).to_pylist())
+                own = _buckets_of(words, buckets)
+                asked = words[np.argsort(own, kind="stable")].astype("<u4")
+                full, counts = np.unique(own, return_counts=True)
+                ends = np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(full), chunks[i])), pa.array(np.full(len(full), ids[i])), pa.array(full.astype(np.int32)),
+                     pa.array([asked[e - c:e].tobytes() for c, e in zip(counts, ends)], pa.binary())], ["chunk", "start", "bucket", "asked"])
+    return ask
+
+
+def _classes(asked: pa.Table) -> pa.Table:
+    """Task code: what is asked of a bucket to the class of each value, the logarithm of its count, rounded up."""
+    parts = asked["asked"].to_pylist()
+    _, at, counts = np.unique(np.frombuffer(b"".join(parts), "<u4"), return_inverse=True, return_counts=True)
+    classes = np.frexp(counts - 1)[1].astype(np.uint8)[at]
+    ends = np.cumsum([len(p) // 4 for p in parts])
+    answers = [classes[e - len(p) // 4:e].tobytes() for p, e in zip(parts, ends)]
+    return pa.table([asked["chunk"], asked["start"], asked["bucket"], pa.array(answers, pa.binary())],
+                    names=["chunk", "start", "bucket", "classes"])
+
+
+POSTINGS = ("value", "id", "n", "pos")
+
+
+def _posting(buckets: int):
+    """Task code: a chunk's sets ``(id, n, words)`` and the answers to it, to the postings of their sketches."""
+    def post(sets: pa.Table, answers: pa.Table) -> pa.Table:
+        sets, answers = sets.sort_by("id"), answers.sort_by([("start", "ascending"), ("bucket", "ascending")])
+        ids, sizes = sets["id"].to_numpy(), sets["n"].to_numpy()
+        starts, classes = answers["start"].to_numpy(), answers["classes"].to_pylist()
+        words = sets["words"].to_pylist()
+        firsts, out = np.unique(starts), []
+        for first, last in zip(firsts, [*firsts[1:], None]):
+            i, j = np.searchsorted(ids, first), len(ids) if last is None else np.searchsorted(ids, last)
+            values, n = _unpacked(words[i:j]), sizes[i:j]
+            rarity = np.empty(len(values), np.uint8)
+            order = np.argsort(_buckets_of(values, buckets), kind="stable")
+            mine = slice(np.searchsorted(starts, first), np.searchsorted(starts, first, side="right"))
+            rarity[order] = np.frombuffer(b"".join(classes[mine]), np.uint8)
+            row = np.repeat(np.arange(j - i), n)
+            order = np.lexsort((values, rarity, row))
+            row, pos = row[order], np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            keep = (pos < (n - (n * LEAST + 99) // 100 + 1)[row]) & (rarity[order] > 0)
+            row, order = row[keep], order[keep]
+            out.append((values[order].astype(np.int64), ids[i:j][row], n[row], pos[keep]))
+        return pa.table([pa.array(np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64), pa.int64()) for c in range(4)], names=POSTINGS)
+    return post
+
+
+def _postings(sketched: DataFrame) -> DataFrame:
+    """The postings ``value, id, n, pos`` of the sketches of ``sketched (id, n, words)``, without values that no two sets share."""
+    total = sketched.agg(F.sum("n")).first()[0] or 0
+    buckets = total // BUCKET + 1
+    asked = sketched.select("id", "words").mapInArrow(_asking(buckets), "chunk long, start long, bucket int, asked binary")
+    answers = stored(asked.groupBy("bucket").applyInArrow(_classes, "chunk long, start long, bucket int, classes binary"))
+    chunks = sketched.select(F.shiftright("id", CHUNK_BITS).alias("chunk"), "id", "n", "words")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_posting(buckets), "value long, id long, n long, pos long")
 
 
 def _folded(long: Column, short: Column) -> Column:
@@ -193,15 +265,14 @@ def _folded(long: Column, short: Column) -> Column:
         .otherwise(long)
 
 
-def _candidates(sketched: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of the nodes ``sketched (id, n, cold, sketch, parity)`` within the bounds, and the likeness ``most`` they allow."""
-    postings = sketched.select("id", "n", F.posexplode("sketch").alias("pos", "value"))
-    a, b = postings.alias("a"), postings.alias("b")
-    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id"))
-                 & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * LEAST) & _reaches(rest, F.col("a.n"), F.col("b.n")))
-    met = stored(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    parities = sketched.select("id", "n", "parity")
+def _may_reach(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+    """Sizes, and positions of a first shared value, allow the threshold."""
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * LEAST) & _reaches(F.least(n_a - pos_a, n_b - pos_b), n_a, n_b)
+
+
+def _within_bounds(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``met (a, b)`` of ``sets (id, n, parity, set)`` that are within the bounds, and the likeness ``most`` they allow."""
+    parities = sets.select("id", "n", "parity")
     both = met.join(parities.toDF("a", "n_a", "p_a"), "a").join(parities.toDF("b", "n_b", "p_b"), "b")
     # Sizes within the threshold have sketches of one size, or one of half the other's.
     apart = F.aggregate(F.zip_with(_folded(F.col("p_a"), F.col("p_b")), _folded(F.col("p_b"), F.col("p_a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
@@ -210,16 +281,15 @@ def _candidates(sketched: DataFrame) -> DataFrame:
     met = stored(both.withColumn("by_parity", by_parity).where(_reaches(F.col("by_parity"), F.col("n_a"), F.col("n_b")))
                  .select("a", "b", "n_a", "n_b", "by_parity"))
     # Shared values up to the smaller of the largest values of both sketches are known exactly, above it at most the shorter remainder.
-    sketches = sketched.select("id", "cold", "sketch", F.struct((F.size("sketch") > F.col("cold")).alias("h"), F.element_at("sketch", -1).alias("v")))
-    both = met.join(sketches.toDF("a", "cold_a", "sk_a", "end_a"), "a").join(sketches.toDF("b", "cold_b", "sk_b", "end_b"), "b") \
+    sketches = sets.select("id", F.slice("set", F.lit(1), sketch_length(F.col("n")).cast("int")).alias("sk")).select("id", "sk", F.element_at("sk", -1).alias("end"))
+    both = met.join(sketches.toDF("a", "sk_a", "end_a"), "a").join(sketches.toDF("b", "sk_b", "end_b"), "b") \
         .withColumn("top", F.least("end_a", "end_b"))
 
-    def low(sketch: str, cold: str) -> Column:
-        behind = F.col("top.h")
-        return F.size(F.filter(sketch, lambda v, i: F.when(i < F.col(cold), behind | (v <= F.col("top.v"))).otherwise(behind & (v <= F.col("top.v")))))
-    by_union = F.size(F.array_intersect("sk_a", "sk_b")) + F.least(F.col("n_a") - low("sk_a", "cold_a"), F.col("n_b") - low("sk_b", "cold_b"))
-    return both.withColumn("bound", F.least(by_union, F.col("by_parity"))).where(_reaches(F.col("bound"), F.col("n_a"), F.col("n_b"))) \
-        .select("a", "b", (F.col("bound") / (F.col("n_a") + F.col("n_b") - F.col("bound"))).alias("most"))
+    def low(sketch: str) -> Column:
+        return F.size(F.filter(sketch, lambda v: v <= F.col("top")))
+    by_union = F.size(F.array_intersect("sk_a", "sk_b")) + F.least(F.col("n_a") - low("sk_a"), F.col("n_b") - low("sk_b"))
+    return stored(both.withColumn("bound", F.least(by_union, F.col("by_parity"))).where(_reaches(F.col("bound"), F.col("n_a"), F.col("n_b")))
+                  .select("a", "b", (F.col("bound") / (F.col("n_a") + F.col("n_b") - F.col("bound"))).alias("most")))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,26 +299,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(sides.where(_reaches(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed pairs ``(a, b)`` of ``pairs (a, b, most)`` that connect all that the confirmed ones of all pairs connect.
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (id, label)`` after the components that ``links (a, b)`` connect are one."""
+    ends = links.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    moved = stored(components(ends)).toDF("label", "_to")
+    return stored(labels.join(moved, "label", "left").select("id", F.coalesce("_to", "label").alias("label")))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels (id, label)`` after the confirmed ones of ``pairs (a, b, most)``, which lie across components.
 
     In each round the most promising pair of every component is checked, and pairs within a component are dropped, so a group
     of near copies takes links in proportion to its size; after ``ROUNDS``, all pairs left are checked.
     """
-    links, rest = None, pairs.select("a", "b", "most", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
+    rest = pairs.select("a", "b", "most")
     for _ in range(ROUNDS):
-        sides = rest.select(F.col("label_a").alias("id"), "most", "a", "b").union(rest.select(F.col("label_b").alias("id"), "most", "a", "b"))
+        named = stored(rest.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b").where("label_a <> label_b"))
+        sides = named.select(F.col("label_a").alias("id"), "most", "a", "b").union(named.select(F.col("label_b").alias("id"), "most", "a", "b"))
         best = stored(sides.groupBy("id").agg(F.max(F.struct("most", "a", "b")).alias("_best")).select("_best.a", "_best.b").distinct())
-        if links is not None and best.isEmpty():
-            return links
-        found = _confirmed(best, sets)
-        links = found if links is None else links.unionByName(found)
-        near = stored(components(links)).toDF("id", "label")
-        rest = stored(rest.select("a", "b", "most").join(best, ["a", "b"], "left_anti")
-                      .join(near.toDF("a", "label_a"), "a", "left").join(near.toDF("b", "label_b"), "b", "left")
-                      .withColumn("label_a", F.coalesce("label_a", "a")).withColumn("label_b", F.coalesce("label_b", "b"))
-                      .where("label_a <> label_b"))
-    return links.unionByName(_confirmed(rest, sets))
+        if best.isEmpty():
+            return labels
+        labels = _merged(labels, _confirmed(best, sets))
+        rest = named.select("a", "b", "most").join(best, ["a", "b"], "left_anti")
+    rest = rest.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b").where("label_a <> label_b")
+    return _merged(labels, _confirmed(rest, sets))
+
+
+def _open_lists(postings: DataFrame, labels: DataFrame, first: Column) -> DataFrame:
+    """Postings with labels and the pivot of their list, the smallest by ``first``; lists within one component are left out."""
+    named = postings.join(labels, "id")
+    lists = named.groupBy("value").agg(F.min(F.struct(first.alias("first"), "id", "n", "pos", "label")).alias("pivot"),
+                                       F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high")
+    return named.join(lists.select("value", "pivot"), "value")
+
+
+def _labels(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """``id`` and ``label``, its component, of the nodes of ``postings (value, id, n, pos)``, with their ``sets (id, n, parity, set)``."""
+    labels, tried = sets.select("id", F.col("id").alias("label")), None
+    whole = sets.select("id", "n", "set")
+    for turn in range(STARS):
+        # A posting far in front belongs to a set with few values of its own: most like the others. Then any other.
+        first = F.struct("pos", F.xxhash64("id")) if turn == 0 else F.xxhash64("id", F.lit(turn))
+        named = stored(_open_lists(postings, labels, first))
+        star = named.where((F.col("label") != F.col("pivot.label")) & _may_reach(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"))) \
+            .select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+        met = stored(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
+        tried = met if tried is None else tried.unionByName(met)
+        if met.isEmpty():
+            break
+        labels = _merged(labels, _confirmed(_within_bounds(met, sets), whole))
+        postings = named.select(*POSTINGS)
+    across = stored(_open_lists(postings, labels, F.lit(0)).select(*POSTINGS, "label"))
+    a, b = across.alias("a"), across.alias("b")
+    met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label"))
+                 & _may_reach(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
+    met = stored(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    return _linked(_within_bounds(met, sets), whole, labels)
 
 
 def near_labels(docs: DataFrame) -> DataFrame:
@@ -256,30 +362,23 @@ def near_labels(docs: DataFrame) -> DataFrame:
 
     ``label`` names the row's component (null for an empty set).
     """
-    spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
-    first = stored(named_sets(slim).select("doc_id", "_k1", "_k2", "n_shingles", "sketch"))
-    base = first.select("doc_id", "_k1", "_k2", "n_shingles")
-    plain = first.where("n_shingles > 0").select(F.explode("sketch").alias("value"))
-    hot = stored(plain.groupBy("value").count().where(f"count > {HOT}").select("value"))
-    n_hot = hot.count()
-    values = np.sort(np.array([r.value for r in hot.collect()], np.int64)) if n_hot <= BROADCAST_HOT else np.zeros(0, np.int64)
-    ordered = named_sets(slim, spark.sparkContext.broadcast(values)).where("n_shingles > 0") \
+    base = stored(named_sets(slim).select("doc_id", "_k1", "_k2", "n_shingles"))
+    ordered = named_sets(slim, with_words=True).where("n_shingles > 0") \
         .withColumn("_text", F.xxhash64("text")).dropDuplicates(["_k1", "_k2"])
-    sketched = stored(ordered.select(F.monotonically_increasing_id().alias("id"), "_k1", "_k2", "_text",
-                                     F.col("n_shingles").alias("n"), "cold", "sketch", "parity"))
-    pairs = stored(_candidates(sketched.select("id", "n", "cold", "sketch", "parity")))
-    nodes = sketched.select("id", "_k1", "_k2", "_text")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = stored(nodes.join(ends, "id"))
+    sketched = stored(ordered.select(F.monotonically_increasing_id().alias("id"), "_k1", "_k2", "_text", F.col("n_shingles").alias("n"), "words"))
+    postings = stored(_postings(sketched))
+    postings = stored(postings.join(postings.groupBy("value").count().where("count > 1").select("value"), "value"))
+    nodes = stored(sketched.select("id", "_k1", "_k2", "_text"))
+    wanted = stored(nodes.join(postings.select("id").distinct(), "id"))
     texts = wanted.select("_text").distinct()
     if wanted.count() <= BROADCAST_NAMES:
         texts = F.broadcast(texts)
     # Whole sets are made again from the texts of the candidates only, found by a hash of the text.
     chosen = slim.select("text", F.xxhash64("text").alias("_text")).join(texts, "_text", "left_semi").dropDuplicates(["text"])
     made = chosen.select(shingle_set(F.col("text")).alias("_made")).select("_made.*")
-    sets = stored(made.join(wanted, ["_k1", "_k2"]).select("id", "n_shingles", "_set").dropDuplicates(["id"]))
-    labels = stored(components(_linked(pairs, sets))).toDF("id", "label")
+    sets = stored(made.join(wanted, ["_k1", "_k2"]).select("id", F.col("n_shingles").alias("n"), "parity", F.col("_set").alias("set")).dropDuplicates(["id"]))
+    labels = _labels(postings, sets)
     # A set that is linked with nothing is its own component.
     named = nodes.join(labels, "id", "left").select("_k1", "_k2", F.coalesce("label", "id").alias("label"))
     return base.join(named, ["_k1", "_k2"], "left")
@@ -309,7 +408,7 @@ def mark_near_copies(docs: DataFrame) -> DataFrame:
     named = stored(_with_components(near_labels(docs)).where("label IS NOT NULL")
                    .select("_k1", "_k2", "component_id").dropDuplicates(["_k1", "_k2"]))
     rows = named_sets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                                  F.col("doc_id"), F.col("text"))).drop("cold", "sketch", "parity")
+                                  F.col("doc_id"), F.col("text")))
     marked = rows.join(named, ["_k1", "_k2"], "left").withColumn("label", F.when(F.col("n_shingles") > 0, F.lit(1)))
     carried = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULT]
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -106,6 +106,25 @@ def test_pairs_that_share_a_line_are_dropped_before_their_sketches_meet(spark, m
     assert sizes["a", "b", "n_a", "n_b", "by_parity"] <= 30 and sizes["a", "b", "most"] <= 30
 
 
+def test_a_group_of_near_copies_meets_in_proportion_to_its_size(spark, make_docs, monkeypatch):
+    """60 near copies have 1770 pairs; stars around pivots meet a few times 60, and texts apart leave no postings."""
+    sizes, plain_stored = [], minhash.stored
+
+    def watched(df):
+        out = plain_stored(df)
+        if out.columns == ["a", "b"] or out.columns[:2] == ["value", "id"]:
+            sizes.append((out.columns[0], out.count()))
+        return out
+    monkeypatch.setattr(minhash, "stored", watched)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(f"u{i}" if j == i * 3 else w for j, w in enumerate(base))) for i in range(60)]
+    rows += [(100 + i, " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(100))) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in near_components(make_docs(rows)).collect()}
+    assert got == {d: c for d, _, c in plain(rows)}
+    assert max(n for c, n in sizes if c == "a") <= 4 * 60 and max(n for c, n in sizes if c == "value") <= 60 * 41
+
+
 def test_long_sets_need_long_sketches(spark, make_docs):
     # 5000 shingles, 800 changed in the second: a sketch of fixed length would often miss the pair.
     a = [f"t{i}" for i in range(5001)]
