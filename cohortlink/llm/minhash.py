@@ -69,8 +69,8 @@ BROADCAST_NAMES = 1 << 21
 WORD_BYTES = 5  # of a value's hash, for counts and postings
 CHUNK_BITS = 10  # so many sets ask for their counts together, as a power of two
 BUCKET = 1 << 20  # values counted at a time, about
-STARS = 3  # rounds of pairs with a pivot of each list, before pairs across components
-ROUNDS = 2  # of checks of each component's most promising pair, before all pairs left
+STARS = 1  # rounds of pairs with a pivot of each list, before pairs across components
+ROUNDS = 1  # of checks of each component's most promising pair, before all pairs left
 
 MIX1, MIX2, ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -338,8 +338,8 @@ def _labels(postings: DataFrame, sets: DataFrame) -> DataFrame:
     labels, tried = sets.select("id", F.col("id").alias("label")), None
     whole = sets.select("id", "n", "set")
     for turn in range(STARS):
-        # A posting far in front belongs to a set with few values of its own: most like the others. Then any other.
-        first = F.struct("pos", F.xxhash64("id")) if turn == 0 else F.xxhash64("id", F.lit(turn))
+        # A posting far in front belongs to a set with few values of its own, so it is most like the others; among such, another each time.
+        first = F.struct(F.floor(F.col("pos") * 32 / F.col("n")), F.xxhash64("id", F.lit(turn)))
         named = stored(_open_lists(postings, labels, first))
         star = named.where((F.col("label") != F.col("pivot.label")) & _may_reach(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"))) \
             .select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
