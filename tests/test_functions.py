@@ -154,3 +154,10 @@ def test_columns_also_run_on_streams(spark, tmp_path):
     run.stop()
     assert spark.table("cleaned").collect() == [("a\n & b", "token=***REDACTED***")]
     assert html.unescape("&amp;") == "&"
+
+
+def test_rounded_gives_what_round_gives(spark):
+    from cohortlink.functions.compare import rounded
+    values = [0.0, -1e-7, .3, .26999999999999996, .2571428571428571, 1 / 3, .1234565, .1234575, 2.5e-6, 1e10 + .1234565, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b"))
+    assert all(repr(r.a) == repr(r.b) for r in df.collect())

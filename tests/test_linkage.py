@@ -193,6 +193,26 @@ def test_top_k_of_common_names_joins_a_few_people_of_each(spark):
         assert sum(pairs for _, _, pairs, _ in rounds) < 1200 and max(n for *_, n in rounds) <= 4
 
 
+def test_lists_of_requests_meet_parts_of_large_groups_and_every_pair_comes_once(spark, monkeypatch):
+    """Groups larger than a list and a part; each match shows its own request, and pairs of rows are not joined again."""
+    from cohortlink.operators import linkage
+    monkeypatch.setattr(linkage, "LIST", 3)
+    monkeypatch.setattr(linkage, "MEET", 2)
+    people = [(i, "Anna", "Schmidt", date(1980 + i % 2, 1 + i % 3, 1)) for i in range(24)]
+    asked = [(["Anna", "ANNA ", " anna"][i % 3], ["Schmitt", "Schmidt "][i % 2], [date(1980, 1 + i % 4, 1), None][i % 9 == 8]) for i in range(18)]
+    asked += [("", "", date(1981, 2, 1)), ("Anna", "", None)]
+    patients = spark.createDataFrame([(i, f, ln, d, None, None, None, None) for i, f, ln, d in people], PATIENT_SCHEMA)
+    requests = spark.createDataFrame([(i, *r) for i, r in enumerate(asked)], "row_number bigint, first_name string, last_name string, dob date")
+    found = fuzzy_link(patients, requests)
+    rows = found.collect()
+    want = {(i, p[0]): round(s, 9) for i, r in enumerate(asked) for p in people if (s := _brute(r, p, LinkConfig())) is not None and s >= .3}
+    assert {(r.csv_input_row_number, r.PatientID): round(r.overall_score, 9) for r in rows} == want and len(rows) == len(want) > 300
+    for r in rows:
+        assert tuple(i.input_value or "" for i in r.match_fields_info) == tuple(str(x or "") for x in asked[r.csv_input_row_number])
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("csv_input_row_number" in line for line in joins)
+
+
 def test_one_search_finds_what_a_batch_finds(spark):
     people = _people(5, 120)
     patients = spark.createDataFrame([(i, f, ln, d, None, None, None, None) for i, f, ln, d in people], PATIENT_SCHEMA)
