@@ -213,6 +213,24 @@ def test_lists_of_requests_meet_parts_of_large_groups_and_every_pair_comes_once(
     assert joins and not any("csv_input_row_number" in line for line in joins)
 
 
+def test_a_low_score_pairs_groups_of_names_not_rows(spark, monkeypatch):
+    """Nearly every name is alike and a date alone is enough: the same matches as comparing every pair, without joins of rows."""
+    from cohortlink.operators import linkage
+    monkeypatch.setattr(linkage, "LIST", 2)
+    monkeypatch.setattr(linkage, "MEET", 3)
+    config = LinkConfig(threshold=.6, min_score=.05)
+    people, asked = _people(5, 40) * 2, [(f or "", ln or "", d) for _, f, ln, d in _people(6, 15)] * 2
+    people = [(i, *p[1:]) for i, p in enumerate(people)]
+    patients = spark.createDataFrame([(i, f, ln, d, None, None, None, None) for i, f, ln, d in people], PATIENT_SCHEMA)
+    requests = spark.createDataFrame([(i, *r) for i, r in enumerate(asked)], "row_number bigint, first_name string, last_name string, dob date")
+    found = fuzzy_link(patients, requests, config)
+    rows = found.collect()
+    want = {(i, p[0]): round(s, 9) for i, r in enumerate(asked) if any(r) for p in people if (s := _brute(r, p, config)) is not None and s >= .05}
+    assert {(r.csv_input_row_number, r.PatientID): round(r.overall_score, 9) for r in rows} == want and len(rows) == len(want)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("csv_input_row_number" in line for line in joins)
+
+
 def test_one_search_finds_what_a_batch_finds(spark):
     people = _people(5, 120)
     patients = spark.createDataFrame([(i, f, ln, d, None, None, None, None) for i, f, ln, d in people], PATIENT_SCHEMA)
